@@ -38,6 +38,7 @@ WORDS, THRESHOLD = 5, 0.75
 #: Pairs estimated below this are not confirmed: at 0.75, 128 minima fall there once in 10^9.
 ESTIMATE = 0.5
 BLOCK = 512
+PORTION = 256
 MASK = 0x1111111111111111
 
 _rng = np.random.default_rng(20240501)
@@ -183,21 +184,30 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     ends = likely.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
     needed = written(reps.select("cid", "doc_id", "th").join(ends, "cid"), "needed")
     sets = written(shared_sets(docs, needed, id_col, text_col, words, bitmap_bits), "sets")
-    both = likely.join(sets.select(F.col("cid").alias("u"), F.col("s").alias("s_u")), "u").join(sets.select(F.col("cid").alias("v"), F.col("s").alias("s_v")), "v")
+    # Each set travels once, not once for each pair: u's goes ahead of the members that it is held against.
+    # A hot u is split into portions of at most about PORTION members, each with a copy of its set.
+    portions = likely.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("long").alias("np"))
+    heads = portions.join(sets.withColumnRenamed("cid", "u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("np") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "s")
+    tails = likely.join(portions, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("np"))).join(sets.withColumnRenamed("cid", "v"), "v").select("u", "part", "v", "s")
+    dealt = heads.union(tails).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
     def run(batches):
+        head = np.zeros(0, np.uint64)
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-                keep.append(common >= threshold * (len(p) + len(q) - common))
-            yield pa.record_batch({"u": b.column(0), "v": b.column(1)}).filter(pa.array(keep, pa.bool_()))
-
-    return written(both.select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long"), "links")
+            us, vs = [], []
+            for u, v, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                if v is None:
+                    head = own.copy()
+                    continue
+                p, q = (own, head) if len(own) <= len(head) else (head, own)
+                common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
+                if common >= threshold * (len(p) + len(q) - common):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return written(dealt.mapInArrow(run, "u long, v long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: module of this subpackage with query() and, where SQL can express it, ORACLE.
 MODULES = {
+    "op1_boosted_dom_text": "html_text",
     "op10_pu_quality": "quality_model",
     "op6_ppm_language": "language_id",
     "op8_bbit_minhash": "near_dup",

@@ -1,16 +1,17 @@
 """Near duplicates: b-bit MinHash candidates, confirmed on full shingle sets, joined to components.
 
 A text's set is its distinct shingles of `words` words (fewer words: the whole text is one shingle), as
-64-bit hashes. Texts with one set form a class; one row of it stands for all. For a class, `bands` * `rows`
-minima are taken; each band's minima make a bucket key, and the low four bits of every minimum are packed
+64-bit hashes. Texts with one set form a class; one row of it stands for all. For a class, 256 minima are
+taken; bands of four make bucket keys of half of them, and the low four bits of every minimum are packed
 into a signature. Similarity is estimated from two signatures by counting equal four-bit groups with bit
-operations, corrected for chance agreement (1 in 16); a pair estimated clearly below the threshold (more than six
+operations, corrected for chance agreement (1 in 16); a pair estimated clearly below the threshold (more than four
 standard errors) is dropped, any other is confirmed or refused on the full sets.
 
-Buckets are not expanded to pairs. First each member is paired with the least of its bucket: for a group
-of copies that links all of it. Then only buckets whose members still lie in different components are gone
-through, in blocks of bounded size, and only pairs across components that are compatible in size and in
-signature leave a task. So every pair that shares a bucket is linked, or refused, or already in one component.
+Buckets are not expanded to pairs. First each member is paired with the head of its bucket: for a group of
+copies that links nearly all of it. Then only buckets whose members still lie in different components are
+gone through, in blocks of bounded size, and only pairs across components that are compatible in size and
+in signature leave a task: the likeliest partners of each member first, more in later rounds for what has
+not been joined by then. So every pair that shares a bucket is linked, or refused, or already in one component.
 A pair at similarity 0.75 shares no bucket with probability 5e-6, at 0.8 with 6e-8.
 
 Full sets are computed again for the classes that need them; a bitmap of fixed size over the hashes of
@@ -33,17 +34,22 @@ from pyspark.sql import functions as F
 
 from cladeflow.session import ship, table, written
 
-BANDS, ROWS, BITS = 32, 4, 4
+BANDS, ROWS = 32, 4
+#: Minima in a signature, of which the bands use the first BANDS * ROWS, and the bits kept of each.
+MINIMA, BITS = 256, 4
 WORDS, THRESHOLD = 5, 0.75
-#: Pairs estimated below this are not confirmed: at 0.75, 128 minima fall there once in 10^9.
-ESTIMATE = 0.5
+#: Pairs estimated further than this below the threshold are not confirmed: at 0.75 itself, an estimate from
+#: 256 minima falls so low once in 10^5 (4.3 standard errors), at 0.8 once in 10^10.
+SLACK = 0.12
+#: In a block, each member first puts forward its so many likeliest partners, then more, then all.
+ROUNDS = (0, 4, 64, 1 << 30)
 BLOCK = 512
 PORTION = 256
 MASK = 0x1111111111111111
 
 _rng = np.random.default_rng(20240501)
 _odd = lambda n: _rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLACE, MULTIPLY, JOIN = _odd(64), _odd(BANDS * ROWS), _odd(ROWS)
+PLACE, MULTIPLY, JOIN = _odd(64), _odd(MINIMA), _odd(ROWS)
 SHUFFLE = _odd(2)
 
 
@@ -80,13 +86,13 @@ def shingles(text: bytes, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
 def minima(s: np.ndarray) -> np.ndarray:
     """The least value of every hash function over a set that is not empty."""
     out = np.full(len(MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 2048):
-        np.minimum(out, (MULTIPLY[:, None] * s[None, i : i + 2048]).min(axis=1), out=out)
+    for i in range(0, len(s), 1024):
+        np.minimum(out, (MULTIPLY[:, None] * s[None, i : i + 1024]).min(axis=1), out=out)
     return out
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    return mixed((m.reshape(BANDS, ROWS) * JOIN).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return mixed((m[: BANDS * ROWS].reshape(BANDS, ROWS) * JOIN).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def packed(m: np.ndarray) -> np.ndarray:
@@ -95,7 +101,7 @@ def packed(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low, axis=1).view(np.int64)
 
 
-N_SIG = BANDS * ROWS * BITS // 64
+N_SIG = MINIMA * BITS // 64
 SIGNATURE = f"rid long, doc_id long, th long, n long, set_a long, set_b long, bands array<long>, sig array<long>"
 
 
@@ -142,7 +148,7 @@ def estimate(a: Column, b: Column) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(MASK))
         differ = differ + F.bit_count(x)
-    same = 1.0 - differ / F.lit(float(BANDS * ROWS))
+    same = 1.0 - differ / F.lit(float(MINIMA))
     return (same - 1 / 16) / (1 - 1 / 16)
 
 
@@ -179,7 +185,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     a = reps.select(F.col("cid").alias("u"), F.col("sig").alias("sig_u"), F.col("n").alias("n_u"))
     b = reps.select(F.col("cid").alias("v"), F.col("sig").alias("sig_v"), F.col("n").alias("n_v"))
     likely = pairs.join(a, "u").join(b, "v")
-    likely = likely.where((F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold) & (estimate(F.col("sig_u"), F.col("sig_v")) >= min(ESTIMATE, threshold - 0.25)))
+    likely = likely.where((F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold) & (estimate(F.col("sig_u"), F.col("sig_v")) >= threshold - SLACK))
     likely = written(likely.select("u", "v"), "likely")
     ends = likely.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
     needed = written(reps.select("cid", "doc_id", "th").join(ends, "cid"), "needed")
@@ -229,8 +235,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of a bucket that lie in different components and may be similar; members is (key, cid)."""
+def across(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float, begin: int, end: int) -> DataFrame:
+    """Pairs (u, v) of a bucket in different components that may be similar; members is (key, cid).
+
+    Of the likely partners of a member within a block, in order of their estimates, those numbered from
+    `begin` to `end` (exclusive) are put forward. The numbers do not depend on the components, so rounds that
+    follow one another leave out no pair, and each round needs only what the ones before it did not join.
+    """
     m = members.join(comps, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = m.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b").select("key", "k")
     m = m.join(split, "key").join(reps.select("cid", "n", "sig"), "cid")
@@ -239,26 +250,36 @@ def across(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: flo
     m = m.withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("cid"), blocks)})
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     m = m.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "cid", "comp", "n", "sig")
-    dealt = m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    least = min(ESTIMATE, threshold - 0.25)
+    dealt = m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
+    least = threshold - SLACK
 
     def compare(part: pa.Table):
         cid, comp, n, blk = (part.column(c).to_numpy() for c in ("cid", "comp", "n", "blk"))
+        if (comp == comp[0]).all():
+            return
         sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, N_SIG).view(np.uint64)
         lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
         left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        likely = np.zeros((len(left), len(right)), np.float32)
         for i in range(0, len(left), 64):
             rows = left[i : i + 64]
             x = sig[rows][:, None, :] ^ sig[right][None, :, :]
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
-            same = 1 - np.bitwise_count(x & np.uint64(MASK)).sum(axis=2, dtype=np.int64) / (BANDS * ROWS)
+            same = 1 - np.bitwise_count(x & np.uint64(MASK)).sum(axis=2, dtype=np.int64) / MINIMA
             a, b = n[rows][:, None], n[right][None, :]
-            ok = ((same - 1 / 16) / (1 - 1 / 16) >= least) & (comp[rows][:, None] != comp[right][None, :]) & (np.minimum(a, b) >= threshold * np.maximum(a, b))
-            r, c = np.nonzero(ok)
-            if len(r):
-                u, v = cid[rows][r], cid[right][c]
-                yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+            fits = (np.minimum(a, b) >= threshold * np.maximum(a, b)) & (cid[rows][:, None] != cid[right][None, :])
+            likely[i : i + 64] = np.where(fits, (same - 1 / 16) / (1 - 1 / 16), 0)
+        r, c = np.nonzero((likely >= least) & (comp[left][:, None] != comp[right][None, :]))
+        if not len(r):
+            return
+        # The number of a pair is the smaller of its places in the lists of its two members.
+        by_row = np.argsort(np.argsort(-likely, axis=1, kind="stable"), axis=1, kind="stable")[r, c]
+        by_col = np.argsort(np.argsort(-likely, axis=0, kind="stable"), axis=0, kind="stable")[r, c]
+        number = np.minimum(by_row, by_col)
+        now = (number >= begin) & (number < end)
+        u, v = cid[left][r[now]], cid[right][c[now]]
+        yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -278,30 +299,56 @@ def across(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: flo
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bitmap_bits: int = 1 << 26) -> DataFrame:
-    """id, n_shingles, component_id, kept and set_key (equal for texts with equal sets) for every row."""
+    """id, n_shingles, component_id, kept, set_key (equal for texts with equal sets) and text_hash for every row."""
     ship(docs.sparkSession)
     signed = written(signatures(docs, id_col, text_col, words), "signatures")
     classes = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("rid", "doc_id", "th", "n", "sig", "bands")).alias("r"), F.min("doc_id").alias("first_id"))
     reps = written(classes.select("set_a", "set_b", "first_id", F.col("r.rid").alias("cid"), "r.doc_id", "r.th", "r.n", "r.sig", "r.bands"), "classes")
     keyed = reps.select(F.explode("bands").alias("key"), "cid")
-    full = keyed.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "lead")
+    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = written(keyed.join(full, "key"), "members")
+    # The head of a bucket is the member that meets most others in all its buckets: of edited copies, mostly their source.
+    weights = members.groupBy("cid").agg(F.sum("k").alias("w"))
+    weighted = members.select("key", "cid").join(weights, "cid")
+    heads = weighted.groupBy("key").agg(F.max(F.struct("w", "cid"))["cid"].alias("head"))
+    pairs = members.select("key", "cid").join(heads, "key").where("cid <> head").select(F.least("cid", "head").alias("u"), F.greatest("cid", "head").alias("v")).distinct()
     args = (reps, docs, id_col, text_col, words, threshold, bitmap_bits)
-    links = confirmed(members.where("cid <> lead").select(F.col("lead").alias("u"), F.col("cid").alias("v")).distinct(), *args)
+    tested = written(pairs, "tested")
+    links = confirmed(tested, *args)
     comps = components(links)
-    more = written(across(members.select("key", "cid"), reps, comps, threshold).join(links, ["u", "v"], "left_anti"), "across")
-    if more.limit(1).count():
-        comps = components(links.union(confirmed(more, *args)))
+    for begin, end in zip(ROUNDS, ROUNDS[1:], strict=False):
+        more = across(members.select("key", "cid"), reps, comps, threshold, begin, end).distinct()
+        more = written(more.join(tested, ["u", "v"], "left_anti"), "more")
+        if more.limit(1).count():
+            tested = tested.union(more)
+            links = links.union(confirmed(more, *args))
+            comps = components(links)
     named = reps.select("cid", "first_id").join(comps, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = comps.join(named, "comp").select("cid", "component_id")
     sets = reps.select("set_a", "set_b", "cid", "first_id").join(of_class, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = signed.select("doc_id", "n", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left")
+    out = signed.select("doc_id", "th", "n", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left")
     of_row = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), of_row.alias("component_id"), F.col("doc_id").eqNullSafe(of_row).alias("kept"), F.when(F.col("n") > 0, F.concat_ws(":", "set_a", "set_b")).alias("set_key"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), of_row.alias("component_id"), F.col("doc_id").eqNullSafe(of_row).alias("kept"), F.when(F.col("n") > 0, F.concat_ws(":", "set_a", "set_b")).alias("set_key"), F.col("th").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without near duplicates: one of each component, and all rows without words."""
+    found = written(near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).cast("long").alias("_i"), "text_hash", "component_id", "set_key", "kept"), "components")
+    first = found.where("kept and set_key is not null").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")).alias("_set")).agg(F.min(F.struct("text_hash", "_i")).alias("_m"))
+    stay = first.select(F.col("_m._i").alias("_i"), F.col("_m.text_hash").alias("_t"), F.lit(True).alias("_words"))
+    empty = found.where("set_key is null").select("_i", F.col("text_hash").alias("_t"), F.lit(False).alias("_words")).distinct()
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"))
+    stay = stay.union(empty)
+    kept = rows.join(stay, rows["_id"].eqNullSafe(stay["_i"]) & (rows["_th"] == stay["_t"]))
+    # Rows repeated as they are make one group too; only then is another pass over the rows needed.
+    if found.where("set_key is not null").groupBy("_i", "text_hash").count().where("count > 1").limit(1).count():
+        kept = kept.where("_words").dropDuplicates(["_id", "_th"]).unionByName(kept.where("not _words"))
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,8 +85,9 @@ def shared_lines(docs: DataFrame, host: Column, text: Column, limit_docs: int, l
     return often.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("docs") > F.col("all") * F.lit(limit_share)).select("_host", "h")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 10, limit_share: float = 0.001, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
-    """id and text hash of every row with its counts, removed_words, base_failed and kept."""
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 10, limit_share: float = 0.001, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+    """Every row as a struct `_row` with the columns NEW beside it."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     text = F.col(text_col).cast("string")
     ident = [F.col(id_col).alias("_id"), F.xxhash64(F.col(host_col), text).alias("_k")]
     shared = written(shared_lines(docs, F.col(host_col), text, limit_docs, limit_share), "shared-lines")
@@ -94,18 +95,31 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hit = lines.join(shared, F.col("_on").eqNullSafe(F.col("_host")) & (F.col("_line") == F.col("h")))
     # Repeated rows have the same lines: a line counts once for all of them.
     per_doc = hit.groupBy("_id", "_k").agg(F.collect_set("_line").alias("_gone")).withColumnsRenamed({"_id": "_id2", "_k": "_k2"})
-    stats = counts(docs.select(F.col(id_col).alias("_id"), ident[1], text.alias("_text")), "_text", ["_id", "_k", "_text"])
+    stats = counts(docs.select(*ident, row, text.alias("_text")), "_text", ["_id", "_k", "_row"])
     joined = stats.join(per_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_k") == F.col("_k2")), "left")
-    norm = F.transform(F.split(F.lower(F.col("_text")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))
+    norm = F.transform(F.split(F.lower(F.col("_row")[text_col].cast("string")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))
     gone = F.aggregate(F.filter(norm, lambda x: (x != "") & F.array_contains("_gone", line_hash(x))), F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(x, " ")))
     removed = joined.withColumn("removed_words", F.coalesce(F.when(F.col("_gone").isNotNull(), gone), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * F.lit(max_repeat))
-    return removed.select(F.col("_id").alias(id_col), F.col("_k").alias("row_hash"), *NEW[:6], failed.alias("base_failed"), (~failed & (F.col("removed_words") <= F.col("n_words") * F.lit(depleted))).alias("kept"))
+    return removed.select("_row", *NEW[:6], failed.alias("base_failed"), (~failed & (F.col("removed_words") <= F.col("n_words") * F.lit(depleted))).alias("kept"))
+
+
+def quality_rules(docs: DataFrame, **options) -> DataFrame:
+    """docs with the columns NEW; a column of docs by one of these names is replaced."""
+    rows = judged(docs, **options)
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in NEW), *NEW)
+
+
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the rules keep, unchanged."""
+    rows = judged(docs, **options).where("kept")
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: counts and verdict of every document."""
-    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *(c for c in NEW if c != "removed_words"), "removed_words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality_rules(docs).select("doc_id", *(c for c in NEW if c != "removed_words"), "removed_words")
 
 
 ORACLE = r"""

@@ -129,7 +129,7 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.transform(F.sequence(F.lit(1), F.col("copies")), lambda _: text)
     whole = F.when(F.col("copies") > 0, whole).otherwise(F.array().cast("array<string>"))
     cut = F.when(F.size("parts") > 0, F.transform("parts", lambda p: F.array_join(F.slice(tokens, p["begin"].cast("int") + 1, (p["end"] - p["begin"]).cast("int")), ""))).otherwise(F.array().cast("array<string>"))
-    m = m.withColumn("_text", F.explode(F.concat(whole, cut)))
+    m = m.withColumn("_text", F.explode_outer(F.concat(whole, cut))).where(F.col("_text").isNotNull())
     out = [F.col("_text").alias(c) if c == text_col else F.char_length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return m.select(*out)
 

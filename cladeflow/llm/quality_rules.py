@@ -68,11 +68,12 @@ def distinct_lines(docs: DataFrame, key: list[Column], host: Column, text: Colum
     plain = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1), lambda x: F.trim(F.regexp_replace(x, BLANKS, " "))), lambda x: x != "")
     a = docs.select(*key, host.alias("_host"), F.sort_array(F.transform(plain, lambda x: F.struct(line_hash(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("n")))).alias("_l"))
     names = [c for c in a.columns if c not in ("_host", "_l")]
-    b = a.where(F.size("_l") > 0).select(*names, "_host", F.col("_l")[0]["h"].alias("_min"), F.element_at("_l", -1)["h"].alias("_max"), F.col("_l"))
+    b = a.select(*names, "_host", F.get("_l", F.lit(0))["h"].alias("_min"), F.get("_l", F.size("_l") - 1)["h"].alias("_max"), F.col("_l"))
     # Equal lines are neighbours in the sorted array: the first of each run stands for all of it.
     firsts = F.filter("_l", lambda x, i: F.coalesce(x["h"] != F.get("_l", i - 1)["h"], F.lit(True)))
-    c = b.select(*names, "_host", "_min", "_max", F.explode(firsts).alias("_x"))
-    return c.select(*names, "_host", "_min", "_max", F.col("_x.h").alias("h"), F.col("_x.n").alias("n"))
+    # explode_outer: for explode Spark would put a filter on the array below it, and compute it twice.
+    c = b.select(*names, "_host", "_min", "_max", F.explode_outer(firsts).alias("_x"))
+    return c.where(F.col("_x").isNotNull()).select(*names, "_host", "_min", "_max", F.col("_x.h").alias("h"), F.col("_x.n").alias("n"))
 
 
 def shared_lines(docs: DataFrame, host: Column, text: Column, limit_docs: int, limit_share: float) -> DataFrame:
@@ -101,7 +102,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     gone = F.aggregate(F.filter(norm, lambda x: (x != "") & F.array_contains("_gone", line_hash(x))), F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(x, " ")))
     removed = joined.withColumn("removed_words", F.coalesce(F.when(F.col("_gone").isNotNull(), gone), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * F.lit(max_repeat))
-    return removed.select("_row", *NEW[:6], failed.alias("base_failed"), (~failed & (F.col("removed_words") <= F.col("n_words") * F.lit(depleted))).alias("kept"))
+    lost = F.col("removed_words") > F.col("n_words") * F.lit(depleted)
+    return removed.select("_row", *NEW[:6], failed.alias("base_failed"), (F.greatest(failed.cast("int"), lost.cast("int")) == 0).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, **options) -> DataFrame:
@@ -112,6 +114,8 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the rules keep, unchanged."""
+    # `kept` is one expression on both sides of the join: parts of a conjunction would move below the
+    # expressions that they rest on and have them computed again for every word.
     rows = judged(docs, **options).where("kept")
     return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 

@@ -235,6 +235,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps with more links: only the components that these connect are gone through again."""
+    if not links.limit(1).count():
+        return comps
+    ends = links.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(comps, "cid", "left_anti")
+    all_ends = written(comps.select("cid", "comp").union(ends.select("cid", F.col("cid").alias("comp"))), "ends")
+    u, v = all_ends.select(F.col("cid").alias("u"), F.col("comp").alias("cu")), all_ends.select(F.col("cid").alias("v"), F.col("comp").alias("cv"))
+    between = components(links.join(u, "u").join(v, "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    moved = between.select(F.col("cid").alias("comp"), F.col("comp").alias("to"))
+    return written(all_ends.join(moved, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")), "labels")
+
+
 def across(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float, begin: int, end: int) -> DataFrame:
     """Pairs (u, v) of a bucket in different components that may be similar; members is (key, cid).
 
@@ -325,8 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = written(more.join(tested, ["u", "v"], "left_anti"), "more")
         if more.limit(1).count():
             tested = tested.union(more)
-            links = links.union(confirmed(more, *args))
-            comps = components(links)
+            comps = joined(comps, confirmed(more, *args))
     named = reps.select("cid", "first_id").join(comps, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = comps.join(named, "comp").select("cid", "component_id")
     sets = reps.select("set_a", "set_b", "cid", "first_id").join(of_class, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "first_id").alias("component_id"))

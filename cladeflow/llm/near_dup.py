@@ -9,9 +9,9 @@ standard errors) is dropped, any other is confirmed or refused on the full sets.
 
 Buckets are not expanded to pairs. First each member is paired with the head of its bucket: for a group of
 copies that links nearly all of it. Then only buckets whose members still lie in different components are
-gone through, in blocks of bounded size, and only pairs across components that are compatible in size and
-in signature leave a task: the likeliest partners of each member first, more in later rounds for what has
-not been joined by then. So every pair that shares a bucket is linked, or refused, or already in one component.
+gone through, in blocks of bounded size: members with a likely partner in another component are named, their
+full sets are sent to the same blocks, and the links that join components come out, fewer than members. So
+every pair that shares a bucket is linked, or refused, or already in one component, and no list of pairs is made.
 A pair at similarity 0.75 shares no bucket with probability 5e-6, at 0.8 with 6e-8.
 
 Full sets are computed again for the classes that need them; a bitmap of fixed size over the hashes of
@@ -41,8 +41,6 @@ WORDS, THRESHOLD = 5, 0.75
 #: Pairs estimated further than this below the threshold are not confirmed: at 0.75 itself, an estimate from
 #: 256 minima falls so low once in 10^5 (4.3 standard errors), at 0.8 once in 10^10.
 SLACK = 0.12
-#: In a block, each member first puts forward its so many likeliest partners, then more, then all.
-ROUNDS = (0, 4, 64, 1 << 30)
 BLOCK = 512
 PORTION = 256
 MASK = 0x1111111111111111
@@ -206,9 +204,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
                 if v is None:
                     head = own.copy()
                     continue
-                p, q = (own, head) if len(own) <= len(head) else (head, own)
-                common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
-                if common >= threshold * (len(p) + len(q) - common):
+                if similar(own, head, threshold):
                     us.append(u)
                     vs.append(v)
             yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
@@ -247,71 +243,126 @@ def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(all_ends.join(moved, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
-def across(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float, begin: int, end: int) -> DataFrame:
-    """Pairs (u, v) of a bucket in different components that may be similar; members is (key, cid).
+PIECE = "key long, lo long, hi long, blk long, cid long, comp long, n long, sig array<long>, bands array<long>"
 
-    Of the likely partners of a member within a block, in order of their estimates, those numbered from
-    `begin` to `end` (exclusive) are put forward. The numbers do not depend on the components, so rounds that
-    follow one another leave out no pair, and each round needs only what the ones before it did not join.
+
+def pieces(batches):
+    """Tables of the rows that share (key, lo, hi), the first three columns, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        keys = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e == s:
+                continue
+            key = tuple(keys[s])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def likely_pairs(part: pa.Table, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, estimates) of a piece's pairs in different components that may be similar.
+
+    A pair that shares several buckets counts in the first of them only.
+    """
+    cid, comp, n, blk = (part.column(c).to_numpy() for c in ("cid", "comp", "n", "blk"))
+    if (comp == comp[0]).all():
+        return []
+    sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, N_SIG).view(np.uint64)
+    bands = part.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    key, lo, hi = (part.column(c)[0].as_py() for c in ("key", "lo", "hi"))
+    left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+    out = []
+    for i in range(0, len(left), 64):
+        rows = left[i : i + 64]
+        x = sig[rows][:, None, :] ^ sig[right][None, :, :]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        same = 1 - np.bitwise_count(x & np.uint64(MASK)).sum(axis=2, dtype=np.int64) / MINIMA
+        near = (same - 1 / 16) / (1 - 1 / 16)
+        a, b = n[rows][:, None], n[right][None, :]
+        ok = (near >= threshold - SLACK) & (np.minimum(a, b) >= threshold * np.maximum(a, b)) & (comp[rows][:, None] != comp[right][None, :])
+        if lo == hi:
+            ok &= cid[rows][:, None] < cid[right][None, :]
+        r, c = np.nonzero(ok)
+        if not len(r):
+            continue
+        u, v = rows[r], right[c]
+        first = (bands[u] == bands[v]).argmax(axis=1)
+        here = bands[u, first] == key
+        if here.any():
+            out.append((u[here], v[here], near[r, c][here]))
+    return out
+
+
+def apart(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """PIECE rows: the members of buckets (key, cid) that have a likely partner in another component.
+
+    A bucket is cut into blocks and every pair of blocks (lo, hi) is a piece of work of its own. A member is
+    named once for each piece, however many partners it has.
     """
     m = members.join(comps, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = m.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b").select("key", "k")
-    m = m.join(split, "key").join(reps.select("cid", "n", "sig"), "cid")
-    # A bucket is cut into blocks; each pair of blocks is a piece of work of its own.
+    m = m.join(split, "key").join(reps.select("cid", "n", "sig", "bands"), "cid")
     blocks = F.ceil(F.col("k") / BLOCK).cast("long")
     m = m.withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("cid"), blocks)})
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    m = m.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "cid", "comp", "n", "sig")
-    dealt = m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
-    least = threshold - SLACK
-
-    def compare(part: pa.Table):
-        cid, comp, n, blk = (part.column(c).to_numpy() for c in ("cid", "comp", "n", "blk"))
-        if (comp == comp[0]).all():
-            return
-        sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, N_SIG).view(np.uint64)
-        lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
-        left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
-        likely = np.zeros((len(left), len(right)), np.float32)
-        for i in range(0, len(left), 64):
-            rows = left[i : i + 64]
-            x = sig[rows][:, None, :] ^ sig[right][None, :, :]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            same = 1 - np.bitwise_count(x & np.uint64(MASK)).sum(axis=2, dtype=np.int64) / MINIMA
-            a, b = n[rows][:, None], n[right][None, :]
-            fits = (np.minimum(a, b) >= threshold * np.maximum(a, b)) & (cid[rows][:, None] != cid[right][None, :])
-            likely[i : i + 64] = np.where(fits, (same - 1 / 16) / (1 - 1 / 16), 0)
-        r, c = np.nonzero((likely >= least) & (comp[left][:, None] != comp[right][None, :]))
-        if not len(r):
-            return
-        # The number of a pair is the smaller of its places in the lists of its two members.
-        by_row = np.argsort(np.argsort(-likely, axis=1, kind="stable"), axis=1, kind="stable")[r, c]
-        by_col = np.argsort(np.argsort(-likely, axis=0, kind="stable"), axis=0, kind="stable")[r, c]
-        number = np.minimum(by_row, by_col)
-        now = (number >= begin) & (number < end)
-        u, v = cid[left][r[now]], cid[right][c[now]]
-        yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+    m = m.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "cid", "comp", "n", "sig", "bands")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            keys = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if e == s:
-                    continue
-                key = tuple(keys[s])
-                if held and key != last:
-                    yield from compare(pa.Table.from_batches(held))
-                    held = []
-                held.append(b.slice(s, e - s))
-                last = key
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+        for part in pieces(batches):
+            if found := likely_pairs(part, threshold):
+                rows = np.unique(np.concatenate([x for u, v, _ in found for x in (u, v)]))
+                yield from part.take(pa.array(rows)).combine_chunks().to_batches()
+
+    return m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, PIECE)
+
+
+def links_across(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of PIECE rows that join components, confirmed on the full sets; in a piece at most one for each member."""
+    dealt = rows.join(sets, "cid").select("key", "lo", "hi", "blk", "cid", "comp", "n", "sig", "bands", "s")
+
+    def run(batches):
+        for part in pieces(batches):
+            comp, cid, s = part.column("comp").to_pylist(), part.column("cid").to_pylist(), part.column("s").combine_chunks()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in s]
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            found = likely_pairs(part, threshold)
+            if not found:
+                continue
+            u, v, near = (np.concatenate(x) for x in zip(*found, strict=True))
+            us, vs = [], []
+            for i in np.argsort(-near, kind="stable").tolist():
+                a, b = top(comp[u[i]]), top(comp[v[i]])
+                if a != b and similar(sets[u[i]], sets[v[i]], threshold):
+                    up[max(a, b)] = min(a, b)
+                    us.append(cid[u[i]])
+                    vs.append(cid[v[i]])
+            yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "u long, v long")
+
 
-    return dealt.mapInArrow(run, "u long, v long")
+def similar(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets have the similarity."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return False
+    common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return common >= threshold * (len(p) + len(q) - common)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bitmap_bits: int = 1 << 26) -> DataFrame:
@@ -328,16 +379,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weighted = members.select("key", "cid").join(weights, "cid")
     heads = weighted.groupBy("key").agg(F.max(F.struct("w", "cid"))["cid"].alias("head"))
     pairs = members.select("key", "cid").join(heads, "key").where("cid <> head").select(F.least("cid", "head").alias("u"), F.greatest("cid", "head").alias("v")).distinct()
-    args = (reps, docs, id_col, text_col, words, threshold, bitmap_bits)
-    tested = written(pairs, "tested")
-    links = confirmed(tested, *args)
-    comps = components(links)
-    for begin, end in zip(ROUNDS, ROUNDS[1:], strict=False):
-        more = across(members.select("key", "cid"), reps, comps, threshold, begin, end).distinct()
-        more = written(more.join(tested, ["u", "v"], "left_anti"), "more")
-        if more.limit(1).count():
-            tested = tested.union(more)
-            comps = joined(comps, confirmed(more, *args))
+    comps = components(confirmed(pairs, reps, docs, id_col, text_col, words, threshold, bitmap_bits))
+    open_ = written(apart(members.select("key", "cid"), reps, comps, threshold), "apart")
+    if open_.limit(1).count():
+        needed = written(reps.select("cid", "doc_id", "th").join(open_.select("cid").distinct(), "cid"), "needed")
+        sets = written(shared_sets(docs, needed, id_col, text_col, words, bitmap_bits), "sets")
+        comps = joined(comps, written(links_across(open_, sets, threshold).distinct(), "links"))
     named = reps.select("cid", "first_id").join(comps, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = comps.join(named, "comp").select("cid", "component_id")
     sets = reps.select("set_a", "set_b", "cid", "first_id").join(of_class, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "first_id").alias("component_id"))

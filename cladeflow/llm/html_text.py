@@ -79,7 +79,7 @@ KIND_OF = {t: i for i, tags in enumerate(KINDS.values()) for t in tags.split()}
 BOXES = frozenset("# div section article main center body details figure aside header footer nav form".split())
 #: Kinds whose presence above a node tells something.
 ABOVE = (5, 6, 7, 8, 9, 10)
-NUMBERS = ("chars", "words", "link_share", "chars_per_tag", "words_per_block", "stops", "depth", "place", "siblings", "page_share", "parent_share", "paragraphs", "controls", "links", "own_chars", "position", "h1_inside", "long_paragraphs")
+NUMBERS = ("chars", "words", "link_share", "chars_per_tag", "words_per_block", "stops", "depth", "place", "siblings", "page_share", "parent_share", "paragraphs", "controls", "links", "own_chars", "position", "h1_inside", "long_paragraphs", "paragraphs_around", "long_paragraphs_around")
 FEATURES = [*(f"tag_{k}" for k in KINDS), *(f"says_{g}" for g in GROUPS), *(f"above_{g}" for g in GROUPS), *(f"above_tag_{i}" for i in ABOVE), *NUMBERS]
 
 
@@ -291,6 +291,7 @@ class Page:
                 c, words[i], links[i] / c if c else 0.0, c / tags[i], words[i] / blocks[i] if blocks[i] else 0.0, 100 * stops[i] / c if c else 0.0,
                 depth[i], place[i] / max(1, siblings[p]) if p >= 0 else 0.0, siblings[p] if p >= 0 else 0, c / total, c / max(1, chars[p]) if p >= 0 else 1.0,
                 paras[i], controls[i], anchors[i], own[i], max(0, first[i]) / total, ones[i], longs[i],
+                paras[p] if p >= 0 else 0, longs[p] if p >= 0 else 0,
             ))
         out[cells_r, cells_c] = 1
         out[:, -len(NUMBERS) :] = numbers
@@ -458,20 +459,21 @@ def specimens(count: int, seed: int) -> list[str]:
     def content() -> str:
         out = []
         if r.random() < 0.85:
-            h = f"<h1>{marked(say(2, 12))}</h1>"
+            h = f"<h1>{marked(say(*pick(((1, 3), (2, 12)))))}</h1>"
             if r.random() < 0.2:
                 h = f"<header{attr('head', 0.2)}>{h}{f'<p>{marked(say(4, 20))}</p>' if r.random() < 0.4 else ''}</header>"
             out.append(h)
         short = r.random() < 0.2
         for _ in range(r.randint(1, 2) if short else r.randint(1, 9)):
-            u = r.random() * (0.7 if short else 1)
+            u = r.random() * (0.62 if short else 1)
             p = marked(rich(1, 12)) if short else marked(rich(*pick(((8, 60), (8, 60), (1, 6), (30, 150), (2, 20)))))
-            if u < 0.7:
+            if u < 0.62:
                 out.append(f"<p{attr('main', 0.08)}>{p}" + ("</p>" if r.random() < 0.9 else ""))
-            elif u < 0.76:
+            elif u < 0.69:
                 out.append(f"<h{pick('23')}>{marked(say(1, 7))}</h{'2'}>".replace("<h3", "<h2"))
             elif u < 0.82:
-                out.append("<ul>" + "".join(f"<li>{marked(rich(2, 20))}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
+                kind, (few, many) = pick(("ul", "ul", "ol")), pick(((1, 4), (2, 8), (2, 20)))
+                out.append(f"<{kind}>" + "".join(f"<li>{marked(rich(few, many))}" + pick(("</li>", "</li>", "")) for _ in range(r.randint(2, 6))) + f"</{kind}>")
             elif u < 0.86:
                 out.append(f"<blockquote>{pick((p, f'<p>{p}</p>'))}</blockquote>")
             elif u < 0.9:

@@ -122,15 +122,16 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Repeated rows are told apart by their number among equals.
     again = Window.partitionBy("_id", "_k").orderBy("copies", "parts")
     share = share.withColumn("_no", F.row_number().over(again)).withColumnsRenamed({"_id": "_id2", "_k": "_k2", "_no": "_no2"})
-    d = docs.select("*", F.col(id_col).alias("_id"), hash60(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("_k"))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), hash60(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("_k"))
     d = d.withColumn("_no", F.row_number().over(Window.partitionBy("_id", "_k").orderBy(F.lit(0))))
     m = d.join(share, d["_id"].eqNullSafe(share["_id2"]) & (d["_k"] == share["_k2"]) & (d["_no"] == share["_no2"]))
-    tokens = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    whole = F.transform(F.sequence(F.lit(1), F.col("copies")), lambda _: text)
-    whole = F.when(F.col("copies") > 0, whole).otherwise(F.array().cast("array<string>"))
+    own = F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))
+    tokens = F.regexp_extract_all(own, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    whole = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), lambda _: own)).otherwise(F.array().cast("array<string>"))
     cut = F.when(F.size("parts") > 0, F.transform("parts", lambda p: F.array_join(F.slice(tokens, p["begin"].cast("int") + 1, (p["end"] - p["begin"]).cast("int")), ""))).otherwise(F.array().cast("array<string>"))
-    m = m.withColumn("_text", F.explode_outer(F.concat(whole, cut))).where(F.col("_text").isNotNull())
-    out = [F.col("_text").alias(c) if c == text_col else F.char_length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    m = m.select("_row", F.explode_outer(F.concat(whole, cut)).alias("_text")).where(F.col("_text").isNotNull())
+    kind = dict(docs.dtypes)
+    out = [F.col("_text").alias(c) if c == text_col else F.char_length("_text").cast(kind[c]).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]
     return m.select(*out)
 
 

@@ -327,27 +327,30 @@ class Page:
 class Trees:
     """Gradient-boosted regression trees on binned features, logistic loss."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: float = 1.0) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 100, depth: int = 4, rate: float = 0.2, bins: int = 24, l2: float = 1.0, least: float = 1.0, share: float = 0.4, seed: int = 11) -> None:
         self.depth = depth
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])).astype(np.float32) for j in range(x.shape[1])]
-        b = self._bins(x)
-        n, d = b.shape
-        width = bins + 1
+        every = self._bins(x)
+        d, width = every.shape[1], bins + 1
         p = y.mean()
         self.bias = float(np.log(p / (1 - p)))
-        f = np.full(n, self.bias)
+        f = np.full(len(every), self.bias)
         offsets = (np.arange(d) * width)[None, :]
+        draw = np.random.default_rng(seed)
         self.trees = []
         for _ in range(rounds):
-            s = 1 / (1 + np.exp(-f))
-            g, h = s - y, s * (1 - s)
+            rows = np.flatnonzero(draw.random(len(every)) < share)
+            b, n = every[rows], len(rows)
+            s = 1 / (1 + np.exp(-f[rows]))
+            g, h = s - y[rows], s * (1 - s)
             at = np.zeros(n, np.int64)
             feature, cut = np.zeros(2**depth - 1, np.int32), np.full(2**depth - 1, 255, np.int32)
+            gd, hd = np.repeat(g, d), np.repeat(h, d)
             for level in range(depth):
                 nodes, start = 2**level, 2**level - 1
                 slot = (at[:, None] * (d * width) + offsets + b).ravel()
-                gs = np.bincount(slot, np.repeat(g, d), nodes * d * width).reshape(nodes, d, width)
-                hs = np.bincount(slot, np.repeat(h, d), nodes * d * width).reshape(nodes, d, width)
+                gs = np.bincount(slot, gd, nodes * d * width).reshape(nodes, d, width)
+                hs = np.bincount(slot, hd, nodes * d * width).reshape(nodes, d, width)
                 gl, hl = gs.cumsum(axis=2), hs.cumsum(axis=2)
                 gt, ht = gl[:, :1, -1:], hl[:, :1, -1:]
                 gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
@@ -358,22 +361,24 @@ class Trees:
                 cut[start : start + nodes] = np.where(ok, best % width, 255)
                 at = at * 2 + (b[np.arange(n), feature[start + at]] > cut[start + at])
             leaf = -rate * np.bincount(at, g, 2**depth) / (np.bincount(at, h, 2**depth) + l2)
-            f += leaf[at]
             self.trees.append((feature, cut, leaf))
+            f += leaf[self._leaves(every, feature, cut)]
+
+    def _leaves(self, b: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(len(b), np.int64), np.arange(len(b))
+        for level in range(self.depth):
+            node = at + (2**level - 1)
+            at = at * 2 + (b[rows, feature[node]] > cut[node])
+        return at
 
     def _bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.uint8)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         b = self._bins(x)
-        rows = np.arange(len(b))
         f = np.full(len(b), self.bias)
         for feature, cut, leaf in self.trees:
-            at = np.zeros(len(b), np.int64)
-            for level in range(self.depth):
-                node = at + (2**level - 1)
-                at = at * 2 + (b[rows, feature[node]] > cut[node])
-            f += leaf[at]
+            f += leaf[self._leaves(b, feature, cut)]
         return f
 
 
@@ -484,7 +489,7 @@ def specimens(count: int, seed: int) -> list[str]:
                 out.append(f"<div>{p}</div>")
             else:
                 out.append(f"<pre>{marked(say(3, 20))}</pre>")
-            if r.random() < 0.06:
+            if r.random() < 0.1:
                 out.append(chrome(pick(("ad", "share", "side", "form", "notice"))))
         inner = pick(("", "\n")).join(out)
         return pick((
@@ -533,7 +538,7 @@ def examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(count: int = 1200, seed: int = 7) -> Trees:
+def trained(count: int = 2000, seed: int = 7) -> Trees:
     return Trees(*examples(specimens(count, seed)))
 
 

@@ -8,7 +8,8 @@ characters (compatibility forms, Cyrillic and Greek letters that look Latin, inv
 turns runs of spelled digits into digits, one turns disguised signs ("[at]", " dot ", "&#64;") into "@" and
 ".". Each transducer writes, beside its output, the pieces of its input that it rewrote, so a span of the
 output is mapped back to code points of the source, through all three. A disguised span is kept where it
-covers a rewritten piece and does not overlap a plain span of its kind; plain spans always stay.
+covers a rewritten piece and is not inside a plain span of its kind (of an address whose first half is
+disguised, the patterns see the rest); plain spans always stay.
 
 Defined cases: null and empty texts have no spans; texts are never cut; rows repeat with their spans;
 offsets are code points with an exclusive end; spans are ordered by start, then kind, then end.
@@ -129,7 +130,7 @@ ALIKE = dict(zip(
     strict=True,
 ))
 INVISIBLE = "­​‌‍⁠﻿"
-ODD = re.compile("[" + "".join(ALIKE) + INVISIBLE + "  - ‐-―․ −①-⓿　。＀-￯﹐-﹫\U0001d400-\U0001d7ff]")
+ODD = re.compile("[" + "".join(ALIKE) + INVISIBLE + r"\u00a0\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2000-\u200a\u2010-\u2015\u2024\u202f\u2070-\u2079\u2080-\u2089\u2212\u2460-\u24ff\u3000\u3002\ufe50-\ufe6b\uff01-\uff5e\uffe0-\uffee\U0001d400-\U0001d7ff]")
 #: What compatibility folding leaves as it is.
 SIGNS = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-", "。": "."}
 
@@ -139,7 +140,8 @@ def _fold(c: str) -> str:
         return ALIKE[c]
     if c in INVISIBLE:
         return ""
-    new = SIGNS.get(c) or unicodedata.normalize("NFKC", c)
+    digit = unicodedata.decimal(c, None)
+    new = SIGNS.get(c) or (str(digit) if digit is not None else unicodedata.normalize("NFKC", c))
     return new if new.isascii() else c
 
 
@@ -157,15 +159,17 @@ SPELLED = (
 DIGIT = {w: str(i) for i, words in enumerate(SPELLED) for w in words.split()}
 #: Names of signs between spelled digits.
 SIGN = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-"}
-WORD = "|".join(sorted([*DIGIT, *SIGN], key=len, reverse=True))
+WORD = "|".join(sorted([*DIGIT, *SIGN, "double", "triple"], key=len, reverse=True))
 DIGIT_WORD = "|".join(sorted(DIGIT, key=len, reverse=True))
-GAP = r"[ \t]*[ ,\-/][ \t]*"
+GAP = r"[ \t,\-/()]+"
+#: Words that say how often the next digit stands.
+TIMES = {"double": 2, "triple": 3}
 #: At least three spelled or written digits in a row, one of them spelled.
 RUN = re.compile(rf"(?<![\w])(?:(?:{WORD})|[0-9]+|\+)(?:{GAP}(?:(?:{WORD})(?!\w)|[0-9]+(?!\w)))" + "{2,}", re.I)
 #: Cheap tests before that: a word of these must be there (the others are common words, no run has them alone).
 TELLING = frozenset(DIGIT) - {"un", "une", "oh"}
-TO_BLANK = str.maketrans(",-/", "   ")
-RUN_GATE = re.compile(rf"(?:{DIGIT_WORD})[ ,\-/]+(?:{WORD}|[0-9])")
+TO_BLANK = str.maketrans(",-/()", "     ")
+RUN_GATE = re.compile(rf"(?:{DIGIT_WORD})[ ,\-/()]+(?:{WORD}|[0-9])|[0-9][ ,\-/()]+(?:{DIGIT_WORD})")
 PART = re.compile(rf"{WORD}|[0-9]+|\+", re.I)
 
 
@@ -178,7 +182,8 @@ def spelled_digits(text: str) -> Rewritten | None:
     for m in RUN.finditer(text):
         parts = [p[0].lower() for p in PART.finditer(m[0])]
         if sum(p in DIGIT for p in parts) >= 2 and not TELLING.isdisjoint(parts):
-            new = "".join(DIGIT.get(p) or SIGN.get(p) or p for p in parts)
+            digits = [DIGIT.get(p) or SIGN.get(p) or p for p in parts]
+            new = "".join("" if p in TIMES else d * TIMES.get(before, 1) for before, p, d in zip(["", *parts], parts, digits, strict=False))
             edits.append((m.start(), m.end(), new))
     return Rewritten(text, edits) if edits else None
 
@@ -258,7 +263,7 @@ def find_spans(text: str) -> list[tuple[int, int, int, bool]]:
             for r in reversed(steps):
                 changed = changed or any(lo < b and (hi > a or lo == hi > a) for lo, hi, _, _ in r.pieces)
                 a, b = r.source(a, b)
-            if changed and not any(k == k2 and a < b2 and a2 < b for a2, k2, b2 in plain):
+            if changed and not any(k == k2 and a2 <= a and b <= b2 for a2, k2, b2 in plain):
                 out.append((a, k, b, False))
         out.sort()
     return out

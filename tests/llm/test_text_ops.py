@@ -49,6 +49,9 @@ def test_plain_spans_against_the_patterns():
         ("call plus one two one two five five five zero one nine nine", "phone", "plus one two one two five five five zero one nine nine"),
         ("four one one one one one one one one one one one one one one one.", "card", "four one one one one one one one one one one one one one one one"),
         ("at 192 dot 168 dot 1 dot 12 x", "ip", "192 dot 168 dot 1 dot 12"),
+        ("call +1 (one three two) five five five-1352.", "phone", "+1 (one three two) five five five-1352"),
+        ("plus one double two one, (five five five) oh one nine nine", "phone", "plus one double two one, (five five five) oh one nine nine"),
+        ("card ٤١١١ ١١١١ ١١١١ ١١١١ ok", "card", "٤١١١ ١١١١ ١١١١ ١١١١"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, span):
@@ -56,6 +59,11 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert found == [(kind, span, False)]
 
 
+def test_half_disguised_address_keeps_its_plain_span():
+    text = "jоhn@example.com now"
+    assert [(text[a:b], p) for a, _, b, p in pii.find_spans(text)] == [("jоhn@example.com", False), ("hn@example.com", True)]
+
+
 @pytest.mark.parametrize("text", ["", "Meet at the place. And then dot.", "five, five, five", "He was at home.now", "one two", "un un un un", "@ . @ .", "at dot at dot"])
 def test_clean_text_has_no_spans(text):
     assert pii.find_spans(text) == []

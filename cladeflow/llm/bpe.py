@@ -9,10 +9,10 @@ copied arc lists: a state is a link to the state it was copied from, the rank at
 the arc removed; and an arc c exists in a state if its a-arc did when c was made. `follows` answers from
 these tables whether an arc is there, and answers are remembered.
 
-Encoding a word goes through its prefixes from left to right. Each prefix has exactly one path, so each
-position needs only the token that ends there; a trie of arc labels proposes the tokens that start at a
-position and the automaton accepts one for every end. The cost is linear in the length of the word times
-the length of the longest token, whatever the word. Decoding emits the labels of the arcs.
+Encoding a word goes from left to right along arcs whose labels stand in the text, the longest first, and goes
+back where the automaton has no such arc. Each prefix has at most one path, so a position that was left is never
+entered again: the cost is linear in the length of the word times the length of the longest token, whatever
+the word. Decoding emits the labels of the arcs.
 
 Text is prepared as the vocabulary file says: special strings are cut out first, then NFC, blanks to one
 space, lower case by code point, and words split by the pattern of the file. Files that ask for anything
@@ -25,6 +25,7 @@ never cut. Repeated rows, null ids and extra columns pass through.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -59,7 +60,9 @@ class Automaton:
             self.labels[i] = s
         self.left, self.right, self.made = [-1] * size, [-1] * size, [-1] * size
         self.removed: dict[tuple[int, int], int] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        #: Answers of `follows` so far, by the token before.
+        self.known: list[dict[int, bool]] = [{} for _ in range(size)]
+        self.n_known = 0
         dead = set()
         for rank, (a, b) in enumerate(merges):
             u, v, c = vocab[a], vocab[b], vocab[(a.removesuffix(suffix) if suffix else a) + b]
@@ -106,40 +109,56 @@ class Automaton:
         return True
 
     def follows(self, u: int, v: int) -> bool:
+        """Whether token v may stand after token u (at the start u is -1)."""
         if u < 0:
             return True
-        known = self.known.get((u, v))
+        known = self.known[u].get(v)
         if known is None:
-            if len(self.known) >= CACHED_ARCS:
-                self.known.clear()
-            known = self.known[u, v] = self._arc(u, v)
+            if self.n_known >= CACHED_ARCS:
+                self.known, self.n_known = [{} for _ in self.labels], 0
+            known = self.known[u][v] = self._arc(u, v)
+            self.n_known += 1
         return known
 
+    def _from(self, word: str, begin: int) -> list[tuple[int, int]]:
+        """(token, end) of the arcs whose labels stand at `begin`, the longest last."""
+        out, n, inside = [], len(word), self.inside.get
+        for i in range(begin + 1, n):
+            t = inside(word[begin:i])
+            if t is None:
+                return out
+            if t >= 0:
+                out.append((t, i))
+        if (t := self.ending.get(word[begin:])) is not None:
+            out.append((t, n))
+        return out
+
     def encode_word(self, word: str) -> list[int]:
-        """The ids of a word of byte symbols."""
+        """The ids of a word of byte symbols: the longest arcs first, back where none goes on.
+
+        Each prefix has one path at most, so a position from which no path ends the word is left for good.
+        """
         n = len(word)
-        last, begin = [-1] * (n + 1), [-1] * (n + 1)
-        inside, ending, follows = self.inside.get, self.ending.get, self.follows
-        for j in range(n):
-            if j and begin[j] < 0:
-                continue
-            u = last[j]
-            for i in range(j + 1, n):
-                t = inside(word[j:i])
-                if t is None:
+        if not n:
+            return []
+        ids: list[int] = []
+        ways, begins, dead = [self._from(word, 0)], [0], set()
+        while begins[-1] < n:
+            last = ids[-1] if ids else -1
+            while ways[-1]:
+                t, end = ways[-1].pop()
+                if end not in dead and self.follows(last, t):
+                    ids.append(t)
+                    begins.append(end)
+                    ways.append(self._from(word, end) if end < n else [])
                     break
-                if t >= 0 and begin[i] < 0 and follows(u, t):
-                    last[i], begin[i] = t, j
             else:
-                if begin[n] < 0 and (t := ending(word[j:])) is not None and follows(u, t):
-                    last[n], begin[n] = t, j
-        ids, i = [], n
-        while i > 0:
-            if begin[i] < 0:
-                raise ValueError(f"no path for {word!r}")
-            ids.append(last[i])
-            i = begin[i]
-        return ids[::-1]
+                dead.add(begins.pop())
+                ways.pop()
+                if not ids:
+                    raise ValueError(f"no path for {word!r}")
+                ids.pop()
+        return ids
 
 
 class Tokenizer:
@@ -163,7 +182,9 @@ class Tokenizer:
         self.words = regex.compile(self.pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.cache: dict[str, tuple[bytes, int]] = {}
+        #: Ids of words met lately, and of those met before them.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         top = max([len(self.automaton.labels) - 1, *self.special.values()])
         self.text_of = [(x or "").encode() for x in self.automaton.labels] + [b""] * (top + 1 - len(self.automaton.labels))
         for s, i in self.special.items():
@@ -177,11 +198,15 @@ class Tokenizer:
         self._ready()
 
     def _word(self, word: str) -> bytes:
-        s = "".join(map(self.symbols.__getitem__, word.encode()))
-        out = np.array(self.automaton.encode_word(s), "<u4").tobytes()
+        out = self.older.get(word)
+        if out is None:
+            # Visible ASCII stands for itself.
+            s = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+            ids = self.automaton.encode_word(s)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             self.cache[word] = out
         return out
 
@@ -190,8 +215,8 @@ class Tokenizer:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case by code point knows no final sigma
                 text = text.replace("Σ", "σ")
-        cache, word = self.cache, self._word
-        return [cache.get(w) or word(w) for w in self.words.findall(text.lower())]
+        word = self._word
+        return [self.cache.get(w) or word(w) for w in self.words.findall(text.lower())]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

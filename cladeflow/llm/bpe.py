@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeflow.session import ship, table
+from cladeflow.session import ship, table, trimmed
 
 NEVER = 1 << 60
-CACHED_WORDS = 200_000
-CACHED_ARCS = 2_000_000
+CACHED_WORDS = 100_000
+CACHED_ARCS = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -268,7 +268,7 @@ def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None
             cols |= {ids_col: pa.array(ids, pa.binary()), count_col: pa.array([len(x) // 4 for x in ids], pa.int64()), decoded_col: pa.array(decoded, pa.string())}
             yield pa.record_batch(cols)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

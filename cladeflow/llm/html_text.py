@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeflow.session import ship, table
+from cladeflow.session import ship, table, trimmed
 
 TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
@@ -574,7 +574,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 cols = {f.name: part.column(j) for j, f in enumerate(b.schema) if f.name not in (html_col, text_col)}
                 yield pa.record_batch(cols | {text_col: pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())})
 
-    return pages.mapInArrow(run, T.StructType([*rest, T.StructField(text_col, T.StringType())]))
+    return pages.mapInArrow(trimmed(run), T.StructType([*rest, T.StructField(text_col, T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm.splits import bounded, held_out, may_learn
-from cladeflow.session import ship, table
+from cladeflow.session import ship, table, trimmed
 
 LETTER = re.compile(r"[^\W\d_]")
 PIECE = 128
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

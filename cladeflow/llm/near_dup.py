@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.session import ship, table, written
+from cladeflow.session import ship, table, trimmed, written
 
 BANDS, ROWS = 32, 4
 #: Minima in a signature, of which the bands use the first BANDS * ROWS, and the bits kept of each.
@@ -55,7 +55,7 @@ class WordHashes(dict):
     """64-bit hashes of words; forgets all when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 yield pa.record_batch({"rid": pa.array(range(task + count, task + count + k), longs), "doc_id": b.column(0).slice(i, 512), "th": b.column(2).slice(i, 512), "n": pa.array(out["n"], longs), "set_a": pa.array(out["set_a"], longs), "set_b": pa.array(out["set_b"], longs), "bands": pa.array(out["bands"], many), "sig": pa.array(out["sig"], many)})
                 count += k
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, SIGNATURE)
+    return _rows(docs, id_col, text_col).mapInArrow(trimmed(run), SIGNATURE)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,7 +172,7 @@ def shared_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str,
                 sets = [shingles(t.as_py() or b"", hashes, words).tobytes() for t in texts.slice(i, 512)]
                 yield pa.record_batch({"doc_id": b.column(0).slice(i, 512), "th": b.column(2).slice(i, 512), "s": pa.array(sets, pa.binary())})
 
-    found = _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, th long, s binary")
+    found = _rows(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, th long, s binary")
     want = needed.select("cid", F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
     # Rows that repeat have equal sets: any one of them does.
     return found.join(want, found["th"].eqNullSafe(want["_t"]) & found["doc_id"].eqNullSafe(want["_d"])).select("cid", "s").dropDuplicates(["cid"])
@@ -209,7 +209,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
                     vs.append(v)
             yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return written(dealt.mapInArrow(run, "u long, v long"), "links")
+    return written(dealt.mapInArrow(trimmed(run), "u long, v long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def apart(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: floa
                 rows = np.unique(np.concatenate([x for u, v, _ in found for x in (u, v)]))
                 yield from part.take(pa.array(rows)).combine_chunks().to_batches()
 
-    return m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, PIECE)
+    return m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), PIECE)
 
 
 def links_across(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -352,7 +352,7 @@ def links_across(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFram
                     vs.append(cid[v[i]])
             yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "u long, v long")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "u long, v long")
 
 
 def similar(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:

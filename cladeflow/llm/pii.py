@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeflow.session import ship, table
+from cladeflow.session import ship, table, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,plain:boolean>>"
@@ -282,7 +282,7 @@ def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "pii") -> D
             cols = {f.name: b.column(i) for i, f in enumerate(b.schema) if f.name != spans_col}
             yield pa.record_batch(cols | {spans_col: pa.array(found, kind)})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -303,7 +303,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([None if (t := x.as_py()) is None else clean(t) for x in b.column(at)], pa.string())
             yield pa.record_batch([new if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 def written_out(spans: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm.splits import held_out, may_learn
-from cladeflow.session import ship, table
+from cladeflow.session import ship, table, trimmed
 
 KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "blank": b" \t\r\x0b\x0c", "line": b"\n", "stop": b".", "comma": b",", "loud": b"!?", "bar": b"|", "mark": b"#*$%&<>=~^_\\/", "quote": b"'\"()[]{}-:;", "at": b"@+"}
 CLASS = np.full(256, len(KINDS), np.uint8)
@@ -138,7 +138,7 @@ def _measured(rows: DataFrame) -> np.ndarray:
         for b in batches:
             yield pa.record_batch({"m": pa.array([measures(t.as_py()) for t in b.column(0)], pa.list_(pa.float64()))})
 
-    got = rows.mapInArrow(run, "m array<double>").toArrow().column("m").combine_chunks()
+    got = rows.mapInArrow(trimmed(run), "m array<double>").toArrow().column("m").combine_chunks()
     x = got.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     return x[np.lexsort(x.T)]  # the order of rows does not count
 
@@ -175,7 +175,7 @@ def classify(docs: DataFrame, model: PUModel, id_col: str = "doc_id", text_col:
                 s = m.score(x)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(run), f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

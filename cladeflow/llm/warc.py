@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.session import scratch, ship, table
+from cladeflow.session import scratch, ship, table, trimmed
 
 ID_FIELD = "WARC-Source-Row"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -172,7 +172,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     number, size = number + 1, 0
             yield pa.record_batch({"archive": pa.array(archives, pa.string()), "body": pa.array([m[:-1] for m in out], pa.binary())})
 
-    packed = mark_revisits(rows, min_bytes).mapInArrow(compress, "archive string, body binary")
+    packed = mark_revisits(rows, min_bytes).mapInArrow(trimmed(compress), "archive string, body binary")
     packed.select("archive", F.col("body").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", "\x00").text(path)
 
 
@@ -194,7 +194,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(read, RECORD)
+    return files.select("path", "content").mapInArrow(trimmed(read), RECORD)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, **options) -> DataFrame:

@@ -46,3 +46,9 @@ def root_children(trees: DataFrame, use_map: bool = False) -> DataFrame:
 def rest_of(splits: DataFrame) -> DataFrame:
     """Every split with the ranks on its other side."""
     return splits.withColumn("other", complement(F.col("split"), F.col("n")))
+
+
+def rename_leaf_nodes(leaves: DataFrame, labels: DataFrame) -> DataFrame:
+    """leaves (tree_id, leaf_no, name) with the names that labels (id, label) gives them, null where it has none."""
+    new = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+    return leaves.join(new, F.col("name") == F.col("_id"), "left").withColumn("name", F.col("_label")).drop("_id", "_label")

@@ -272,3 +272,17 @@ def test_strip_annotations():
     assert strip_beast_annotations("(A[&r=1]:1,B)[&x") == "(A:1,B)"
     assert strip_beast_annotations("[x](A,B);") == "[x](A,B);"
     assert strip_beast_annotations("[&a[b]c](A);") == "c](A);"
+
+
+def test_snapshots_as_values(spark):
+    from cladeflow import TreeSnapshot, kf_from_snapshots, rename_leaf_nodes, rf_from_snapshots, weighted_rf_from_snapshots
+
+    a, b = (TreeSnapshot.from_tree(frame(spark, [t])) for t in ("((A:1,B:1):1,(C:1,D:1):1);", "((A:1,C:1):1,(B:1,D:1):1);"))
+    assert a.parts == ((2, 3),) and a.lengths == (2.0,) and a.root_children == ((0, 1), (2, 3)) and a.num_leaves == 4
+    assert rf_from_snapshots(a, b) == 2 and weighted_rf_from_snapshots(a, b) == 4.0 and kf_from_snapshots(a, b) == pytest.approx(8**0.5)
+    u = TreeSnapshot.from_tree(frame(spark, ["(A:1,(((B:1,C:1):2):3,D:1):4);"]), rooted=True)
+    v = TreeSnapshot.from_tree(frame(spark, ["(A:1,((B:1,C:1):2,D:1):4);"]), rooted=True)
+    assert rf_from_snapshots(u, v) == 1 and u.rooted
+    leaves = parse(frame(spark, ["(A,(B,C));"]))[0]
+    labels = spark.createDataFrame([("A", "x"), ("C", "z")], "id string, label string")
+    assert [r["name"] for r in rename_leaf_nodes(leaves, labels).orderBy("leaf_no").collect()] == ["x", None, "z"]

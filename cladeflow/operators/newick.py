@@ -83,9 +83,9 @@ def parse(trees: DataFrame, use_map: bool = False) -> tuple[DataFrame, DataFrame
 
 
 def clades(trees: DataFrame, use_map: bool = False) -> DataFrame:
-    """(tree_id, level, clade, length, n): every internal node with the sorted ranks below it; the root has level 1."""
+    """(tree_id, level, k, clade, length, n): every internal node with the k sorted ranks below it; the root has level 1."""
     leaves, ranges, _ = parse(trees, use_map)
     order = leaves.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("leaf_no", "rank"))).alias("o"), F.count(F.lit(1)).alias("n"))
     both = ranges.join(order.select("tree_id", F.transform("o", lambda x: x["rank"]).alias("ranks"), "n"), "tree_id")
     clade = F.sort_array(F.slice("ranks", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int")))
-    return both.select("tree_id", "level", clade.alias("clade"), "length", F.col("n").cast("int").alias("n"))
+    return both.select("tree_id", "level", (F.col("hi") - F.col("lo")).cast("int").alias("k"), clade.alias("clade"), "length", F.col("n").cast("int").alias("n"))

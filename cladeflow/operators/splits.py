@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.functions.sets import canonical_side, complement, is_trivial, root_free
+from cladeflow.functions.sets import canonical_side, complement
 from cladeflow.operators.newick import clades
 
 
@@ -17,14 +17,14 @@ def to_splits(trees: DataFrame, rooted: bool = False, use_map: bool = False) ->
     Rooted: every clade with two leaves or more; repeated clades stay, numbered by `copy`. Edges to leaves
     and the root never count; a missing length is 0.
     """
-    c = clades(trees, use_map).where(root_free(F.col("level"), F.col("clade")))
+    # Filters use the number of leaves, not the array: a filter on the array would compute it twice.
+    c = clades(trees, use_map).where("level > 1 and k > 1")
     length = F.coalesce("length", F.lit(0.0)).alias("length")
     if rooted:
         copy = Window.partitionBy("tree_id", "clade").orderBy("length", "level")
         rows = c.select("tree_id", F.col("clade").alias("split"), length, "n", "clade", "level")
         return rows.withColumn("copy", F.row_number().over(copy)).select("tree_id", "split", "copy", "length", "n")
-    s = c.select("tree_id", canonical_side(F.col("clade"), F.col("n")).alias("split"), length, "n")
-    s = s.where(~is_trivial(F.col("split"), F.col("n")))
+    s = c.where("k < n - 1").select("tree_id", canonical_side(F.col("clade"), F.col("n")).alias("split"), length, "n")
     return s.groupBy("tree_id", "split", "n").agg(F.sum("length").alias("length")).select("tree_id", "split", F.lit(1).alias("copy"), "length", "n")
 
 

@@ -18,6 +18,8 @@ from cladeflow.session import ship
 
 METRICS = ("rf", "weighted", "kf")
 BLOCK = 256
+#: Cells of the matrices that a task lays out at once (two of them, 8 bytes each).
+CELLS = 4 << 20
 RESULT = "i long, j long, dist double"
 
 
@@ -87,37 +89,52 @@ def _by_blocks(splits: DataFrame, trees: DataFrame, metric: str, block: int) ->
         bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
         ids, blk = t.column("tree_id").to_numpy(), t.column("blk").to_numpy()
         keys, owner, lengths = _flat(t)
-        col = _numbered(keys)
-        x = np.zeros((len(ids), int(col.max(initial=-1)) + 1))
-        has = np.zeros_like(x)
-        x[owner, col], has[owner, col] = lengths, 1.0
         a, b = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-        out_i, out_j, out_d = [], [], []
-        if metric == "rf":
-            n = has.sum(axis=1)
-            dist = n[a][:, None] + n[b][None, :] - 2 * (has[a] @ has[b].T)
-        for r, row in enumerate(a):
-            take = ids[b] > ids[row] if bi == bj else np.ones(len(b), bool)
-            if not take.any():
-                continue
-            if metric == "rf":
-                d = dist[r][take]
-            elif metric == "weighted":
-                both = has[b[take]] * has[row]
-                d = (np.where(both > 0, np.abs(x[row] - x[b[take]]), x[row] + x[b[take]])).sum(axis=1)
-            else:
-                diff = x[row] - x[b[take]]
-                d = np.sqrt((diff * diff).sum(axis=1))
-            u, v = np.full(int(take.sum()), ids[row]), ids[b[take]]
-            out_i.append(np.minimum(u, v))
-            out_j.append(np.maximum(u, v))
-            out_d.append(d)
-        cat = lambda p, t: pa.array(np.concatenate(p) if p else np.zeros(0), t)
-        return pa.table({"i": cat(out_i, pa.int64()), "j": cat(out_j, pa.int64()), "dist": cat(out_d, pa.float64())})
+        d = _block_distances(len(ids), _numbered(keys), owner, lengths, a, b, metric)
+        r, c = np.nonzero(ids[a][:, None] < ids[b][None, :] if bi == bj else np.ones((len(a), len(b)), bool))
+        u, v = ids[a][r], ids[b][c]
+        return pa.table({"i": pa.array(np.minimum(u, v), pa.int64()), "j": pa.array(np.maximum(u, v), pa.int64()), "dist": pa.array(d[r, c], pa.float64())})
 
     return dealt.groupBy("bi", "bj").applyInArrow(compare, RESULT)
 
 
+def _block_distances(n: int, col: np.ndarray, owner: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances between the trees a and b of n trees, given as (split number, tree, length) triples.
+
+    A split that one tree alone has adds the same to each of its distances; only the others are laid out, tree
+    by split, in pieces of at most CELLS.
+    """
+    per = {"rf": np.ones(len(col)), "weighted": lengths, "kf": lengths * lengths}[metric]
+    often = np.bincount(col)
+    alone = often[col] == 1 if len(col) else np.zeros(0, bool)
+    own = np.bincount(owner[alone], per[alone], n)
+    d = own[a][:, None] + own[b][None, :]
+    shared = np.flatnonzero(often > 1)
+    place = np.full(len(often), -1)
+    place[shared] = np.arange(len(shared))
+    at, who, x = place[col[~alone]], owner[~alone], lengths[~alone]
+    order = np.argsort(at, kind="stable")
+    at, who, x = at[order], who[order], x[order]
+    step = max(1, CELLS // max(1, n))
+    for lo in range(0, len(shared), step):
+        i, j = np.searchsorted(at, (lo, lo + step))
+        width = min(step, len(shared) - lo)
+        cells, has = np.zeros((n, width)), np.zeros((n, width))
+        cells[who[i:j], at[i:j] - lo], has[who[i:j], at[i:j] - lo] = x[i:j], 1.0
+        if metric == "rf":
+            count = has.sum(axis=1)
+            d += count[a][:, None] + count[b][None, :] - 2 * (has[a] @ has[b].T)
+            continue
+        xb, hb = cells[b], has[b]
+        for r, row in enumerate(a):
+            diff = xb - cells[row]
+            if metric == "kf":
+                d[r] += (diff * diff).sum(axis=1)
+            else:  # a length that the other tree lacks counts as it is, not as its amount
+                d[r] += np.where(hb * has[row] > 0, np.abs(diff), xb + cells[row]).sum(axis=1)
+    return np.sqrt(d) if metric == "kf" else d
+
+
 def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests of all splits of a table of trees as pairs of longs, the row each belongs to, and their lengths."""
     k, v = t.column("k").combine_chunks(), t.column("l").combine_chunks()

@@ -77,7 +77,8 @@ def _histogram(batches, plan: dict, scale: float):
     for at, _, s, own in _chunks(batches, plan, scale):
         inside = ~own & (s >= lo[at]) & (s <= hi[at])
         _, c = np.nonzero(inside)
-        slot = (s[inside] - lo[at][c]) // width[at][c]
+        # Unsigned: the range of scores can be wider than a signed number.
+        slot = ((s[inside].view(np.uint64) - lo[at][c].view(np.uint64)) // width[at][c].view(np.uint64)).astype(np.int64)
         counts += np.bincount(at[c] * bins + slot, minlength=n * bins).reshape(n, bins)
     # Slices below a task's own k-th value cannot hold the k-th value of all tasks.
     above = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
@@ -181,7 +182,7 @@ def _one_block(cand: DataFrame, rows: list, k: int, scale: float, bins: int, pea
                 open_[q], kth[q] = False, -SATURATE - 1
                 continue
             need[q] -= step["upto"] - step["n"]
-            lo[q] += step["slot"] * int(width[q])
+            lo[q] = int(lo[q]) + step["slot"] * int(width[q])
             hi[q] = min(int(hi[q]), int(lo[q]) + int(width[q]) - 1)
             if lo[q] == hi[q]:
                 open_[q], kth[q] = False, lo[q]

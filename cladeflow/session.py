@@ -37,19 +37,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Scratch paths of this process that are still there, in the order they were made.
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder, removed when the driver ends."""
+    """A new path for a written table in the shared folder, removed when the driver ends or by drop_scratch."""
     path = f"{shared_dir(spark).rstrip('/')}/cladeflow-{name}-{uuid.uuid4().hex[:12]}"
+    if not _scratch:
+        atexit.register(drop_scratch, spark)
+    _scratch.append(path)
+    return path
+
 
-    def remove() -> None:
+def scratch_mark() -> int:
+    """What drop_scratch needs to spare the tables that are there now."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Remove the scratch tables made after `since` marks, except the `last` newest; frames that read them can't be used any more."""
+    end = max(since, len(_scratch) - last)
+    for path in _scratch[since:end]:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may be gone already
+        except Exception:  # at the driver's end the JVM may be gone already
             pass
-
-    atexit.register(remove)
-    return path
+    del _scratch[since:end]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching over byte contexts.
 
 For each language a tree of byte contexts of up to `order` bytes holds how often each byte followed, from a
-sample of at most about `per_language` documents (of at most `longest` characters; whole, and bounded so
+sample of at most about `per_language` documents (`in_all` over all languages; of at most `longest` characters; whole, and bounded so
 that the driver can count it). The statistics are then frozen. A byte costs what its longest known context
 says; a context that has not seen it costs an escape (method C: distinct followers against all) and passes it
 on to the next shorter one, down to an even guess over 256 bytes. A text costs the sum over its bytes, in each
@@ -144,12 +144,12 @@ class Model:
         return langs, scores
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, longest: int = 1 << 16, **options) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, in_all: int = 8000, longest: int = 1 << 16, **options) -> Model:
     """Statistics from a bounded sample of the rows that may be learned from."""
     rows = docs.where(may_learn(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & (F.char_length("t") <= longest) & F.col("t").rlike(r"\p{L}"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(bounded(rows, "l", "i", per_language).select("l", "i", "t").collect()):
+    for r in sorted(bounded(rows, "l", "i", per_language, in_all).select("l", "i", "t").collect()):
         texts.setdefault(r["l"], []).append(r["t"])
     return Model(texts, **options)
 

@@ -18,13 +18,14 @@ def may_learn(id_col: str) -> Column:
     return F.col(id_col).isNotNull() & ~held_out(id_col)
 
 
-def bounded(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
-    """About `most` rows of each value of `by`, picked by a hash of the id: the same in every run.
+def bounded(rows: DataFrame, by: str, id_col: str, most: int, in_all: int) -> DataFrame:
+    """About `most` rows of each value of `by`, and `in_all` together, picked by a hash of the id: the same in every run.
 
     The counts by value are collected (one row a value); the pick is a filter, not a sort.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
     u = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    most = min(most, in_all // max(1, len(counts)))
     keep = F.lit(False)
     for value, n in counts.items():
         keep = F.when(F.col(by) == value, u < min(1.0, most / n)).otherwise(keep)

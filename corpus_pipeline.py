@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import bpe, mixing, near_dup, pii, quality_rules
-from cladeflow.session import table, written
+from cladeflow.session import drop_scratch, scratch_mark, table, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -61,7 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        drop_scratch(spark, since=mark, last=1)  # this stage's output is all that the next one reads
     return docs

@@ -188,7 +188,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     ends = likely.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
     needed = written(reps.select("cid", "doc_id", "th").join(ends, "cid"), "needed")
     sets = written(shared_sets(docs, needed, id_col, text_col, words, bitmap_bits), "sets")
-    # Each set travels once, not once for each pair: u's goes ahead of the members that it is held against.
+    # u is the head, whose set travels once for a portion of its members, ahead of theirs.
     # A hot u is split into portions of at most about PORTION members, each with a copy of its set.
     portions = likely.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("long").alias("np"))
     heads = portions.join(sets.withColumnRenamed("cid", "u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("np") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "s")
@@ -378,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = members.groupBy("cid").agg(F.sum("k").alias("w"))
     weighted = members.select("key", "cid").join(weights, "cid")
     heads = weighted.groupBy("key").agg(F.max(F.struct("w", "cid"))["cid"].alias("head"))
-    pairs = members.select("key", "cid").join(heads, "key").where("cid <> head").select(F.least("cid", "head").alias("u"), F.greatest("cid", "head").alias("v")).distinct()
+    pairs = members.select("key", "cid").join(heads, "key").where("cid <> head").select(F.col("head").alias("u"), F.col("cid").alias("v")).distinct()
     comps = components(confirmed(pairs, reps, docs, id_col, text_col, words, threshold, bitmap_bits))
     open_ = written(apart(members.select("key", "cid"), reps, comps, threshold), "apart")
     if open_.limit(1).count():

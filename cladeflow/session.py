@@ -74,12 +74,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def trimmed(run: Callable) -> Callable:
-    """run for mapInArrow, with memory given back at the end: a Python worker lives on for the next task."""
+def trimmed(run: Callable, rows: int = 512) -> Callable:
+    """run for mapInArrow, on batches of at most `rows`, with memory given back at the end: a Python worker
+    lives on for the next task, and Spark's batches of thousands of texts would stand in it several times."""
+
+    def cut(batches: Iterator) -> Iterator:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
 
     def kept_small(batches: Iterator) -> Iterator:
         try:
-            yield from run(batches)
+            yield from run(cut(batches))
         finally:
             import ctypes
 

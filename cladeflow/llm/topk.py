@@ -167,7 +167,7 @@ def _one_block(cand: DataFrame, rows: list, k: int, scale: float, bins: int, pea
         # A settled query takes no more counts: its range is empty.
         plan |= {"lo": np.where(open_, lo, 1), "hi": np.where(open_, hi, 0), "width": width, "need": need}
         sent = sc.broadcast(plan)
-        counted = cand.mapInArrow(trimmed(lambda b, sent=sent, scale=scale: _histogram(b, sent.value, scale)), "q int, slot int, n long")
+        counted = cand.mapInArrow(trimmed(lambda b, sent=sent, scale=scale: _histogram(b, sent.value, scale), 10_000), "q int, slot int, n long")
         total = counted.groupBy("q", "slot").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("q").orderBy(F.col("slot").desc())
         # Slices with fewer than k above them: at most k for a query, the one with the k-th value among them.
@@ -190,7 +190,7 @@ def _one_block(cand: DataFrame, rows: list, k: int, scale: float, bins: int, pea
             open_[q], kth[q] = False, -SATURATE - 1
     plan |= {"kth": kth, "ties": need}
     sent = sc.broadcast(plan)
-    return cand.mapInArrow(trimmed(lambda b, sent=sent, scale=scale: _select(b, sent.value, scale)), "query_id long, vec_id long, score long")
+    return cand.mapInArrow(trimmed(lambda b, sent=sent, scale=scale: _select(b, sent.value, scale), 10_000), "query_id long, vec_id long, score long")
 
 
 def divisible(column: str, by: int) -> Column:

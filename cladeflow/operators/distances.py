@@ -107,7 +107,7 @@ def _block_distances(n: int, col: np.ndarray, owner: np.ndarray, lengths: np.nda
     per = {"rf": np.ones(len(col)), "weighted": lengths, "kf": lengths * lengths}[metric]
     often = np.bincount(col)
     alone = often[col] == 1 if len(col) else np.zeros(0, bool)
-    own = np.bincount(owner[alone], per[alone], n)
+    own = np.bincount(owner[alone], per[alone], n).astype(float)  # whole numbers where nothing is counted
     d = own[a][:, None] + own[b][None, :]
     shared = np.flatnonzero(often > 1)
     place = np.full(len(often), -1)

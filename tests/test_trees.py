@@ -286,3 +286,9 @@ def test_snapshots_as_values(spark):
     leaves = parse(frame(spark, ["(A,(B,C));"]))[0]
     labels = spark.createDataFrame([("A", "x"), ("C", "z")], "id string, label string")
     assert [r["name"] for r in rename_leaf_nodes(leaves, labels).orderBy("leaf_no").collect()] == ["x", None, "z"]
+
+
+@pytest.mark.parametrize("metric", ["rf", "weighted", "kf"])
+def test_copies_have_no_distance(spark, metric):
+    for method in ("join", "block"):
+        assert set(dist(spark, [NEWICKS[0]] * 4, metric, method=method).values()) == {0}

@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 from cladeflow.session import ship, table, trimmed
 
 NEVER = 1 << 60
-CACHED_WORDS = 100_000
-CACHED_ARCS = 200_000
+CACHED_WORDS = 250_000
+CACHED_ARCS = 500_000
 
 
 def byte_symbols() -> list[str]:

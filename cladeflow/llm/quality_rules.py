@@ -1,16 +1,20 @@
 """Quality rules: counts of words, symbols and repetition, and lines that too many documents of a host share.
 
 DataFrame functions only. The counts of a document come from its own row. For shared lines, each
-document's lines are normalised (lower case, blanks to one space, trimmed) and hashed; a line is above the
-limit of its host where more than `limit_docs` documents and more than a `limit_share` of the host's
-documents have it. Copies and near copies of one document share their lines too, yet they are no
-boilerplate (finding them is the task of near-duplicate detection), so a line counts as shared only where
-the documents that have it differ otherwise: each document carries the least and the greatest hash of its
-lines, and there must be at least half as many different pairs of these as documents with the line. A
-document that loses more than `depleted` of its words with those lines is rejected.
+document's lines are normalised (lower case, blanks to one space, trimmed) and hashed; a line is common
+where more than `limit_docs` documents, and more than a `limit_share`, of its host have it. Copies and near
+copies of one document share their lines too, yet they are no boilerplate (finding them is the task of
+near-duplicate detection), so documents count once a group of copies. A group is told by one line: the least
+of the document's own lines, or, where it has none, its rarest common line. An own line is one that is
+neither common nor an edited common line, which shares the first or last words, or the least hash of three
+successive words, with one. Rarest lines that copies have edited away are led back to the line that most
+documents with the replacement are told by. A common line is above the limit with more than `limit_docs`
+groups; up to 2 * limit_docs documents, half as many groups as documents are enough. A document that loses
+more than `depleted` of its words with those lines is rejected.
 
 A line that a third of all documents share costs one row a task in the counts (they are combined before
-the shuffle), and the join of lines with the few above the limit can be split by Spark.
+the shuffle), and the join of lines with the few common ones can be split by Spark. Near copies edited
+beyond recognition in a line each, without a trace of the original in it, count as documents of their own.
 
 Defined cases: null text has no words and fails the base rules; a null host is a host of its own; repeated
 rows are documents each and share a verdict; an empty table gives none; other columns pass through
@@ -28,6 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+MARKS = ("first", "last", "middle")
 
 
 def line_hash(line: Column) -> Column:
@@ -64,26 +69,62 @@ def counts(docs: DataFrame, text_col: str = "text", extra: list[str] | None = No
 
 
 def distinct_lines(docs: DataFrame, key: list[Column], host: Column, text: Column) -> DataFrame:
-    """key, host, line hash h, its words in the document n, and the document's least and greatest line hash."""
+    """key, _host, hash h of each different line, and hashes of its first and last words and of a middle (null below three words)."""
     plain = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1), lambda x: F.trim(F.regexp_replace(x, BLANKS, " "))), lambda x: x != "")
-    a = docs.select(*key, host.alias("_host"), F.sort_array(F.transform(plain, lambda x: F.struct(line_hash(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("n")))).alias("_l"))
-    names = [c for c in a.columns if c not in ("_host", "_l")]
-    b = a.select(*names, "_host", F.get("_l", F.lit(0))["h"].alias("_min"), F.get("_l", F.size("_l") - 1)["h"].alias("_max"), F.col("_l"))
-    # Equal lines are neighbours in the sorted array: the first of each run stands for all of it.
-    firsts = F.filter("_l", lambda x, i: F.coalesce(x["h"] != F.get("_l", i - 1)["h"], F.lit(True)))
+    split = F.transform(F.array_distinct(plain), lambda x: F.struct(line_hash(x).alias("h"), F.split(x, " ").alias("w")))
+    few = lambda w: F.least(F.lit(3), F.floor((F.size(w) + 1) / 2).cast("int"))
+    triples = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    lines = F.transform(
+        split,
+        lambda x: F.struct(
+            x["h"].alias("h"),
+            F.xxhash64(F.lit("first"), F.slice(x["w"], 1, few(x["w"]))).alias("first"),
+            F.xxhash64(F.lit("last"), F.slice(x["w"], -few(x["w"]), few(x["w"]))).alias("last"),
+            F.when(F.size(x["w"]) >= 3, F.array_min(triples(x["w"]))).alias("middle"),
+        ),
+    )
     # explode_outer: for explode Spark would put a filter on the array below it, and compute it twice.
-    c = b.select(*names, "_host", "_min", "_max", F.explode_outer(firsts).alias("_x"))
-    return c.where(F.col("_x").isNotNull()).select(*names, "_host", "_min", "_max", F.col("_x.h").alias("h"), F.col("_x.n").alias("n"))
+    a = docs.select(*key, host.alias("_host"), F.explode_outer(lines).alias("_x"))
+    return a.where(F.col("_x").isNotNull()).select(*(c for c in a.columns if c != "_x"), "_x.h", *(f"_x.{c}" for c in MARKS))
+
 
+def mark(name: str) -> Column:
+    """One of a line's MARKS together with its host."""
+    return F.when(F.col(name).isNotNull(), F.xxhash64("_host", name))
 
-def shared_lines(docs: DataFrame, host: Column, text: Column, limit_docs: int, limit_share: float) -> DataFrame:
-    """(_host, h) of the lines above the limits of their host."""
-    lines = distinct_lines(docs, [], host, text)
-    by_context = lines.groupBy("_host", "h", "_min", "_max").agg(F.count(F.lit(1)).alias("d"))
-    by_line = by_context.groupBy("_host", "h").agg(F.sum("d").alias("docs"), F.count(F.lit(1)).alias("contexts"))
-    often = by_line.where((F.col("docs") > limit_docs) & (2 * F.col("contexts") >= F.col("docs")))
+
+def common_lines(docs: DataFrame, host: Column, text: Column, limit_docs: int, limit_share: float) -> DataFrame:
+    """_host, h, number of documents `docs` and MARKS of the lines that more documents of a host have than the limits."""
+    often = distinct_lines(docs, [], host, text).groupBy("_host", "h").agg(F.count(F.lit(1)).alias("docs"), *(F.first(c).alias(c) for c in MARKS)).where(F.col("docs") > limit_docs)
     hosts = docs.groupBy(host.alias("_of")).agg(F.count(F.lit(1)).alias("all"))
-    return often.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("docs") > F.col("all") * F.lit(limit_share)).select("_host", "h")
+    return often.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("docs") > F.col("all") * F.lit(limit_share)).select("_host", "h", "docs", *MARKS)
+
+
+def common_by_document(lines: DataFrame, common: DataFrame, edited: DataFrame) -> DataFrame:
+    """_id, _k, _host, the common lines `_common`, the least own line `_own` and the rarest common one `_rare` of documents with common lines."""
+    at = common.select(F.col("_host").alias("_on"), F.col("h").alias("_line"), "docs")
+    a = lines.join(at, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("h") == F.col("_line")), "left")
+    for c in MARKS:
+        a = a.join(edited.withColumnRenamed("mark", f"_{c}"), mark(c) == F.col(f"_{c}"), "left")
+    own = F.col("docs").isNull()
+    for c in MARKS:
+        own = own & F.col(f"_{c}").isNull()
+    has = F.col("docs").isNotNull()
+    # Repeated rows have the same lines: a line counts once for all of them.
+    b = a.groupBy("_id", "_k").agg(F.first("_host").alias("_host"), F.collect_set(F.when(has, F.col("h"))).alias("_common"), F.min(F.when(own, F.col("h"))).alias("_own"), F.min(F.when(has, F.struct("docs", "h")))["h"].alias("_rare"))
+    return b.where(F.col("_rare").isNotNull())
+
+
+def shared_lines(by_doc: DataFrame, common: DataFrame, limit_docs: int) -> DataFrame:
+    """(_host, h) of the common lines that enough groups of copies have."""
+    a = by_doc.select("_host", F.explode("_common").alias("h"), F.col("_own").isNotNull().alias("own"), F.coalesce("_own", "_rare").alias("told"))
+    a = a.groupBy("_host", "h", "own", "told").agg(F.count(F.lit(1)).alias("d"))
+    rare = a.where(~F.col("own"))
+    mostly = rare.groupBy(F.col("_host").alias("_on"), F.col("h").alias("_line")).agg(F.max(F.struct("d", "told"))["told"].alias("by"))
+    rare = rare.join(mostly, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("told") == F.col("_line"))).select("_host", "h", "own", F.col("by").alias("told")).distinct()
+    groups = a.where("own").select("_host", "h", "own", "told").union(rare).groupBy(F.col("_host").alias("_on"), F.col("h").alias("_line")).agg(F.count(F.lit(1)).alias("groups"))
+    b = common.join(groups, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("h") == F.col("_line")))
+    return b.where(2 * F.col("groups") >= F.least(F.col("docs"), F.lit(2 * limit_docs + 1))).select("_host", "h")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 10, limit_share: float = 0.001, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
@@ -91,11 +132,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     text = F.col(text_col).cast("string")
     ident = [F.col(id_col).alias("_id"), F.xxhash64(F.col(host_col), text).alias("_k")]
-    shared = written(shared_lines(docs, F.col(host_col), text, limit_docs, limit_share), "shared-lines")
-    lines = distinct_lines(docs, ident, F.col(host_col), text).select("_id", "_k", F.col("_host").alias("_on"), F.col("h").alias("_line"))
-    hit = lines.join(shared, F.col("_on").eqNullSafe(F.col("_host")) & (F.col("_line") == F.col("h")))
-    # Repeated rows have the same lines: a line counts once for all of them.
-    per_doc = hit.groupBy("_id", "_k").agg(F.collect_set("_line").alias("_gone")).withColumnsRenamed({"_id": "_id2", "_k": "_k2"})
+    common = written(common_lines(docs, F.col(host_col), text, limit_docs, limit_share), "common-lines")
+    edited = written(common.select(F.explode(F.array(*(mark(c) for c in MARKS))).alias("mark")).where(F.col("mark").isNotNull()).distinct(), "common-marks")
+    by_doc = written(common_by_document(distinct_lines(docs, ident, F.col(host_col), text), common, edited), "common-by-document")
+    shared = shared_lines(by_doc, common, limit_docs).withColumnsRenamed({"_host": "_on", "h": "_line"})
+    hit = by_doc.select("_id", "_k", "_host", F.explode("_common").alias("h")).join(shared, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("h") == F.col("_line")))
+    per_doc = hit.groupBy("_id", "_k").agg(F.collect_set("h").alias("_gone")).withColumnsRenamed({"_id": "_id2", "_k": "_k2"})
     stats = counts(docs.select(*ident, row, text.alias("_text")), "_text", ["_id", "_k", "_row"])
     joined = stats.join(per_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_k") == F.col("_k2")), "left")
     norm = F.transform(F.split(F.lower(F.col("_row")[text_col].cast("string")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))

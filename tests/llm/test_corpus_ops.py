@@ -167,6 +167,42 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(got[200 + i].kept and not got[200 + i].removed_words for i in range(60))
 
 
+@pytest.mark.parametrize("template, own", [(9, 1), (6, 1), (4, 1), (2, 1)])
+def test_pages_of_template_and_few_own_lines(spark, template, own):
+    r = random.Random(template)
+    say = lambda k: " ".join(f"v{r.randrange(10**6)}" for _ in range(k))
+    rows = []
+    for host in range(8):
+        lines = [say(30) for _ in range(template)]
+        rows += [(1000 * host + i, "\n".join([*lines, *(say(10) for _ in range(own))]), "en", f"h{host}", 0) for i in range(60)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and all(x.removed_words == 30 * template and not x.kept for x in got)
+
+
+def test_menu_beside_hot_groups_of_copies(spark):
+    """Copies count once: the menu goes, from copies too, and the copies' own lines stay, edited or not."""
+    r = random.Random(11)
+    say = lambda k: " ".join(f"v{r.randrange(10**6)}" for _ in range(k))
+    menu = say(12)
+    rows = [(i, f"{menu}\n{say(80)}", "en", "h", 0) for i in range(14)]
+    copies = [[say(20) for _ in range(8)] for _ in range(2)]
+    for i in range(400):
+        lines = copies[i % 2][:]
+        for _ in range(r.choice((0, 0, 1, 3))):
+            k = r.randrange(8)
+            words = lines[k].split(" ")
+            words[r.randrange(20)] = f"e{i}"
+            lines[k] = " ".join(words)
+        rows.append((100 + i, "\n".join([menu, *lines]), "en", "h", 0))
+    # Articles that only occur as many copies are differing documents too.
+    for k in range(12):
+        text = f"{say(12) if not k else foot}\n{say(70)}"
+        foot = text.split("\n")[0]
+        rows += [(1000 + 100 * k + i, text, None, None, 0) for i in range(15)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and all(x.removed_words == 12 and x.kept for x in got)
+
+
 def targets(sizes, volume=1.5):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}

@@ -10,7 +10,8 @@ neither common nor an edited common line, which shares the first or last words,
 successive words, with one. Rarest lines that copies have edited away are led back to the line that most
 documents with the replacement are told by. A common line is above the limit with more than `limit_docs`
 groups; up to 2 * limit_docs documents, half as many groups as documents are enough. A document that loses
-more than `depleted` of its words with those lines is rejected.
+more than `depleted` of its words with those lines is rejected; `clean_text` is its text without
+those lines, all else in it unchanged.
 
 A line that a third of all documents share costs one row a task in the counts (they are combined before
 the shuffle), and the join of lines with the few common ones can be split by Spark. Near copies edited
@@ -32,6 +33,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+CLEAN = "clean_text"
 MARKS = ("first", "last", "middle")
 
 
@@ -128,7 +130,7 @@ def shared_lines(by_doc: DataFrame, common: DataFrame, limit_docs: int) -> DataF
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 10, limit_share: float = 0.001, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
-    """Every row as a struct `_row` with the columns NEW beside it."""
+    """Every row as a struct `_row` with the columns NEW and CLEAN beside it."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     text = F.col(text_col).cast("string")
     ident = [F.col(id_col).alias("_id"), F.xxhash64(F.col(host_col), text).alias("_k")]
@@ -140,26 +142,33 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     per_doc = hit.groupBy("_id", "_k").agg(F.collect_set("h").alias("_gone")).withColumnsRenamed({"_id": "_id2", "_k": "_k2"})
     stats = counts(docs.select(*ident, row, text.alias("_text")), "_text", ["_id", "_k", "_row"])
     joined = stats.join(per_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_k") == F.col("_k2")), "left")
-    norm = F.transform(F.split(F.lower(F.col("_row")[text_col].cast("string")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))
-    gone = F.aggregate(F.filter(norm, lambda x: (x != "") & F.array_contains("_gone", line_hash(x))), F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(x, " ")))
+    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))
+    own = F.col("_row")[text_col].cast("string")
+    above = lambda x: (norm(x) != "") & F.array_contains("_gone", line_hash(norm(x)))
+    gone = F.aggregate(F.filter(F.split(own, "\n", -1), above), F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(norm(x), " ")))
     removed = joined.withColumn("removed_words", F.coalesce(F.when(F.col("_gone").isNotNull(), gone), F.lit(0)).cast("long"))
+    clean = F.when(F.col("_gone").isNotNull(), F.array_join(F.filter(F.split(own, "\n", -1), lambda x: ~above(x)), "\n")).otherwise(own)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * F.lit(max_repeat))
     lost = F.col("removed_words") > F.col("n_words") * F.lit(depleted)
-    return removed.select("_row", *NEW[:6], failed.alias("base_failed"), (F.greatest(failed.cast("int"), lost.cast("int")) == 0).alias("kept"))
+    return removed.select("_row", *NEW[:6], failed.alias("base_failed"), (F.greatest(failed.cast("int"), lost.cast("int")) == 0).alias("kept"), clean.alias(CLEAN))
 
 
 def quality_rules(docs: DataFrame, **options) -> DataFrame:
-    """docs with the columns NEW; a column of docs by one of these names is replaced."""
+    """docs with the columns NEW and CLEAN; a column of docs by one of these names is replaced."""
     rows = judged(docs, **options)
-    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in NEW), *NEW)
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in (*NEW, CLEAN)), *NEW, CLEAN)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep, unchanged."""
+    """The rows of docs that the rules keep, without the lines above the limit; n_chars is brought up to date where lines went."""
     # `kept` is one expression on both sides of the join: parts of a conjunction would move below the
     # expressions that they rest on and have them computed again for every word.
     rows = judged(docs, **options).where("kept")
-    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    text_col, kind = options.get("text_col", "text"), dict(docs.dtypes)
+    new = {text_col: F.col(CLEAN).cast(kind[text_col])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("removed_words") > 0, F.char_length(CLEAN).cast(kind["n_chars"])).otherwise(F.col("_row")["n_chars"])
+    return rows.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages; each is written as Parquet and read again as the next one's input.
 
-Quality rules drop documents, near-duplicate removal leaves one of each group, personal data is replaced by
+Quality rules drop documents and lines, near-duplicate removal leaves one of each group, personal data is replaced by
 its kind, sources are mixed to their target weights (documents repeated, cut or dropped as the mix says), and
 what is left is encoded and decoded with a public vocabulary.
 """
@@ -22,7 +22,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, unchanged."""
+    """Documents that the quality rules keep, without the lines above the limit."""
     return quality_rules.keep_good(docs)
 
 

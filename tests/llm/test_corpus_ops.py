@@ -203,6 +203,21 @@ def test_menu_beside_hot_groups_of_copies(spark):
     assert len(got) == len(rows) and all(x.removed_words == 12 and x.kept for x in got)
 
 
+def test_lines_above_the_limit_are_taken_out(spark):
+    r = random.Random(12)
+    say = lambda k: " ".join(f"v{r.randrange(10**6)}" for _ in range(k))
+    first, second = ([say(80) for _ in range(30)] for _ in range(2))
+    rows = [(i, f"{first[i]}\n\n  All rights\tRESERVED. \n{second[i]}\n", "en", "h", 7) for i in range(30)]
+    rows.append((99, f"all rights reserved.\n{say(60)}", "en", "other", 7))
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {i: f"{first[i]}\n\n{second[i]}\n" for i in range(30)}
+    got = {x.doc_id: x for x in quality_rules.keep_good(docs).collect()}
+    assert {i: got[i].text for i in range(30)} == want and all(got[i].n_chars == len(want[i]) for i in range(30))
+    assert tuple(got[99]) == rows[-1]
+    judged = {x.doc_id: x for x in quality_rules.quality_rules(docs).collect()}
+    assert all(judged[r[0]].text == r[1] and judged[r[0]].clean_text == want.get(r[0], r[1]) for r in rows)
+
+
 def targets(sizes, volume=1.5):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}

@@ -2,7 +2,7 @@
 
 DataFrame functions only. The counts of a document come from its own row. For shared lines, each
 document's lines are normalised (lower case, blanks to one space, trimmed) and hashed; a line is common
-where more than `limit_docs` documents, and more than a `limit_share`, of its host have it. Copies and near
+where more than `limit_docs` documents of its host have it, however many the host holds. Copies and near
 copies of one document share their lines too, yet they are no boilerplate (finding them is the task of
 near-duplicate detection), so documents count once a group of copies. A group is told by one line: the least
 of the document's own lines, or, where it has none, its rarest common line. An own line is one that is
@@ -95,11 +95,10 @@ def mark(name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.xxhash64("_host", name))
 
 
-def common_lines(docs: DataFrame, host: Column, text: Column, limit_docs: int, limit_share: float) -> DataFrame:
-    """_host, h, number of documents `docs` and MARKS of the lines that more documents of a host have than the limits."""
-    often = distinct_lines(docs, [], host, text).groupBy("_host", "h").agg(F.count(F.lit(1)).alias("docs"), *(F.first(c).alias(c) for c in MARKS)).where(F.col("docs") > limit_docs)
-    hosts = docs.groupBy(host.alias("_of")).agg(F.count(F.lit(1)).alias("all"))
-    return often.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("docs") > F.col("all") * F.lit(limit_share)).select("_host", "h", "docs", *MARKS)
+def common_lines(docs: DataFrame, host: Column, text: Column, limit_docs: int) -> DataFrame:
+    """_host, h, number of documents `docs` and MARKS of the lines that more than limit_docs documents of a host have."""
+    lines = distinct_lines(docs, [], host, text).groupBy("_host", "h").agg(F.count(F.lit(1)).alias("docs"), *(F.first(c).alias(c) for c in MARKS))
+    return lines.where(F.col("docs") > limit_docs)
 
 
 def common_by_document(lines: DataFrame, common: DataFrame, edited: DataFrame) -> DataFrame:
@@ -129,12 +128,12 @@ def shared_lines(by_doc: DataFrame, common: DataFrame, limit_docs: int) -> DataF
     return b.where(2 * F.col("groups") >= F.least(F.col("docs"), F.lit(2 * limit_docs + 1))).select("_host", "h")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 10, limit_share: float = 0.001, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 10, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """Every row as a struct `_row` with the columns NEW and CLEAN beside it."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     text = F.col(text_col).cast("string")
     ident = [F.col(id_col).alias("_id"), F.xxhash64(F.col(host_col), text).alias("_k")]
-    common = written(common_lines(docs, F.col(host_col), text, limit_docs, limit_share), "common-lines")
+    common = written(common_lines(docs, F.col(host_col), text, limit_docs), "common-lines")
     edited = written(common.select(F.explode(F.array(*(mark(c) for c in MARKS))).alias("mark")).where(F.col("mark").isNotNull()).distinct(), "common-marks")
     by_doc = written(common_by_document(distinct_lines(docs, ident, F.col(host_col), text), common, edited), "common-by-document")
     shared = shared_lines(by_doc, common, limit_docs).withColumnsRenamed({"_host": "_on", "h": "_line"})

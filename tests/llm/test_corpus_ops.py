@@ -218,6 +218,16 @@ def test_lines_above_the_limit_are_taken_out(spark):
     assert all(judged[r[0]].text == r[1] and judged[r[0]].clean_text == want.get(r[0], r[1]) for r in rows)
 
 
+def test_limit_is_the_same_on_a_host_of_many_rows(spark):
+    r = random.Random(13)
+    say = lambda k: " ".join(f"v{r.randrange(10**6)}" for _ in range(k))
+    foot = say(9)
+    rows = [(i, f"{say(70)}\n{foot}", "en", host, 0) for host in ("small", "large") for i in range(12)]
+    rows += [(100 + i, f"row {i} of many", "en", "large", 0) for i in range(12_500)]
+    got = [x for x in quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect() if x.doc_id < 12]
+    assert len(got) == 24 and all(x.removed_words == 9 and x.kept for x in got)
+
+
 def targets(sizes, volume=1.5):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}

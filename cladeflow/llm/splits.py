@@ -18,15 +18,33 @@ def may_learn(id_col: str) -> Column:
     return F.col(id_col).isNotNull() & ~held_out(id_col)
 
 
+def shares(counts: dict, most: int, in_all: int) -> dict:
+    """How many rows of each value: at most `most`, `in_all` together, shared out so that values with few rows leave theirs to the others.
+
+    The in_all // most values with the most rows get most // 4 whatever the number of others.
+    """
+    first = set(sorted(counts, key=lambda v: (-counts[v], repr(v)))[: in_all // most])
+    least = {v: min(n, most // 4) if v in first else 0 for v, n in counts.items()}
+    at = lambda level: {v: max(least[v], min(n, most, level)) for v, n in counts.items()}
+    low, high = 0.0, float(most)
+    if sum(at(high).values()) <= in_all:
+        return at(high)
+    for _ in range(50):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(at(level).values()) <= in_all else (low, level)
+    return at(low)
+
+
 def bounded(rows: DataFrame, by: str, id_col: str, most: int, in_all: int) -> DataFrame:
     """About `most` rows of each value of `by`, and `in_all` together, picked by a hash of the id: the same in every run.
 
-    The counts by value are collected (one row a value); the pick is a filter, not a sort.
+    The counts by value are collected (one row a value) and shared out by `shares`; the pick is a join with
+    these (one row a value, sent to the executors), not a sort.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect() if r[0] is not None}
     u = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    most = min(most, in_all // max(1, len(counts)))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = F.when(F.col(by) == value, u < min(1.0, most / n)).otherwise(keep)
-    return rows.where(keep) if counts else rows.limit(0)
+    if not counts:
+        return rows.limit(0)
+    kind = rows.schema[by].dataType.simpleString()
+    rates = rows.sparkSession.createDataFrame([(v, min(1.0, x / counts[v])) for v, x in shares(counts, most, in_all).items()], f"_value {kind}, _rate double")
+    return rows.join(F.broadcast(rates), F.col(by) == F.col("_value")).where(u < F.col("_rate")).select(*rows.columns)

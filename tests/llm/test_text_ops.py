@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import tokenizers
 
-from cladeflow.llm import bpe, html_text, language_id, pii, quality_model
+from cladeflow.llm import bpe, html_text, language_id, pii, quality_model, splits
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
@@ -189,6 +189,16 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_sample_beside_many_junk_values(spark):
+    rows = [(i, lang) for i, lang in enumerate(["en"] * 900 + ["de"] * 700 + [f"junk{i}" for i in range(300)])]
+    docs = spark.createDataFrame(rows, "i long, l string")
+    few = {r.l: r["count"] for r in splits.bounded(docs, "l", "i", 400, 1100).groupBy("l").count().collect()}
+    assert len(few) == 302 and all(330 < few[x] < 470 for x in ("en", "de"))
+    none_left = {r.l: r["count"] for r in splits.bounded(docs, "l", "i", 40, 250).groupBy("l").count().collect()}
+    assert none_left["en"] >= 1 and none_left["de"] >= 1 and sum(none_left.values()) < 330
+    assert splits.shares({"a": 1000, "b": 7}, 400, 8000) == {"a": 400, "b": 7}
+
+
 def test_language_odd_frames(spark):
     rows = [(1, "the cat sat", "en", "s", 0), (None, "the cat", None, None, 0), (3, None, "en", None, 0), (4, "12", None, None, 0), (5, "le chat " * 40_000, "fr", None, 0), (5, "le chat " * 40_000, "fr", None, 0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", score int")

@@ -52,6 +52,8 @@ CLOSES = {
     "thead": ({"thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("html head title meta link style script base noscript template".split())
 ENDS_P = frozenset("address article aside blockquote details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 
 #: What attribute tokens say, by group.
@@ -155,6 +157,8 @@ class Page:
             self.flow.append((node, text, link))
 
     def _start(self, name: str, attributes: str, stack: list) -> None:
+        if name not in IN_HEAD and len(stack) > 1 and stack[1][0] == "head":
+            self._close({"head"}, {"noscript", "template"}, stack)
         if name in ENDS_P:
             self._close({"p"}, {"table", "td", "th", "button", "object", "blockquote", "div", "article", "section", "body"} - {name if name == "p" else ""}, stack)
         if name in CLOSES:

@@ -274,6 +274,13 @@ def test_what_is_no_main_text_goes(part, box):
     assert html_text.extract_texts([page], html_text.trained())[0] == TEXT
 
 
+def test_head_that_is_never_closed():
+    text = " ".join(f"Sentence number {i} of this page says something." for i in range(40))
+    for head in ("<title>x</title>", "<title>x</title><meta charset=utf-8><noscript><img src=a></noscript><style>p {}</style>"):
+        got = html_text.extract_texts([f"<html><head>{head}<p>{text}</p>", f"<html><head>{head}</head><body><p>{text}</p></body></html>"], html_text.trained())
+        assert got[0] == got[1] == text
+
+
 def test_specimens():
     trees = html_text.trained()
     x, y = html_text.examples(html_text.specimens(150, 991))

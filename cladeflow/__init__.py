@@ -14,7 +14,7 @@ from cladeflow.api import (
 )
 from cladeflow.functions.sets import Bitset
 from cladeflow.functions.text import strip_beast_annotations
-from cladeflow.operators.snapshots import TreeSnapshot, kf_from_snapshots, rf_from_snapshots, weighted_rf_from_snapshots
+from cladeflow.operators.tree_values import TreeSnapshot, kf_from_snapshots, rf_from_snapshots, weighted_rf_from_snapshots
 from cladeflow.operators.splits import rename_leaf_nodes
 from cladeflow.sources import read_beast_trees, write_matrix_tsv
 

@@ -1,8 +1,8 @@
 """Language identification by prediction by partial matching over byte contexts.
 
 For each language a tree of byte contexts of up to `order` bytes holds how often each byte followed, from a
-sample of at most about `per_language` documents (`in_all` over all languages; of at most `longest` characters; whole, and bounded so
-that the driver can count it). The statistics are then frozen. A byte costs what its longest known context
+sample of at most about `per_language` documents (`in_all` over all languages, of at most `longest` characters each and
+about `chars_in_all` together, from the `languages` commonest; whole, and bounded so that the driver can count it). The statistics are then frozen. A byte costs what its longest known context
 says; a context that has not seen it costs an escape (method C: distinct followers against all) and passes it
 on to the next shorter one, down to an even guess over 256 bytes. A text costs the sum over its bytes, in each
 language; the least wins.
@@ -19,8 +19,6 @@ ties go to the language that sorts first; texts are scored whole, rows repeat wi
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +27,16 @@ from pyspark.sql import functions as F
 from cladeflow.llm.splits import bounded, held_out, may_learn
 from cladeflow.session import ship, table, trimmed
 
-LETTER = re.compile(r"[^\W\d_]")
 PIECE = 128
 #: The score saturates with the evidence of so many bytes.
 EVIDENCE = 64
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; fractions, superscripts, circled and Roman numerals are none."""
+    return any(map(str.isalpha, text))
+
+
 class Model:
     """Tables of the automaton: `after[state, symbol]` and `bits[state * symbols + symbol, language]`."""
 
@@ -132,7 +134,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        todo = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        todo = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         if todo:
             bits, sizes = self.code_lengths([texts[i] for i in todo])
             best = bits.argmin(axis=1)
@@ -144,12 +146,13 @@ class Model:
         return langs, scores
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, in_all: int = 8000, longest: int = 1 << 16, **options) -> Model:
-    """Statistics from a bounded sample of the rows that may be learned from."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, in_all: int = 8000, longest: int = 1 << 16, chars_in_all: int = 32 << 20, languages: int = 1000, **options) -> Model:
+    """Statistics from a bounded sample of the rows that may be learned from: the driver gets about `chars_in_all` characters at most."""
     rows = docs.where(may_learn(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & (F.char_length("t") <= longest) & F.col("t").rlike(r"\p{L}"))
+    rows = rows.withColumn("n", F.char_length("t"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(bounded(rows, "l", "i", per_language, in_all).select("l", "i", "t").collect()):
+    for r in sorted(bounded(rows, "l", "i", per_language, in_all, "n", chars_in_all, languages).select("l", "i", "t").collect()):
         texts.setdefault(r["l"], []).append(r["t"])
     return Model(texts, **options)
 

@@ -35,16 +35,23 @@ def shares(counts: dict, most: int, in_all: int) -> dict:
     return at(low)
 
 
-def bounded(rows: DataFrame, by: str, id_col: str, most: int, in_all: int) -> DataFrame:
+def bounded(rows: DataFrame, by: str, id_col: str, most: int, in_all: int, size_col: str | None = None, size_in_all: int = 0, values: int = 1000) -> DataFrame:
     """About `most` rows of each value of `by`, and `in_all` together, picked by a hash of the id: the same in every run.
 
-    The counts by value are collected (one row a value) and shared out by `shares`; the pick is a join with
-    these (one row a value, sent to the executors), not a sort.
+    Only the `values` commonest values count (ties to the value that sorts first). Their counts are collected (one
+    row a value) and shared out by `shares`; where the picked rows would come to more than `size_in_all` in
+    `size_col`, all shares shrink alike. The pick is a join with the shares (sent to the executors), not a sort.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect() if r[0] is not None}
-    u = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    if not counts:
+    size = F.sum(size_col).cast("double") if size_col else F.lit(0.0)
+    found = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_n"), size.alias("_size"))
+    found = found.orderBy(F.col("_n").desc(), by).limit(values).collect()
+    if not found:
         return rows.limit(0)
+    counts = {r[0]: r["_n"] for r in found}
+    taken = shares(counts, most, in_all)
+    expected = sum(r["_size"] * taken[r[0]] / r["_n"] for r in found)
+    shrink = min(1.0, size_in_all / expected) if size_col and expected else 1.0
+    u = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     kind = rows.schema[by].dataType.simpleString()
-    rates = rows.sparkSession.createDataFrame([(v, min(1.0, x / counts[v])) for v, x in shares(counts, most, in_all).items()], f"_value {kind}, _rate double")
+    rates = rows.sparkSession.createDataFrame([(v, min(1.0, x / counts[v] * shrink)) for v, x in taken.items()], f"_value {kind}, _rate double")
     return rows.join(F.broadcast(rates), F.col(by) == F.col("_value")).where(u < F.col("_rate")).select(*rows.columns)

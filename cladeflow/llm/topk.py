@@ -7,10 +7,15 @@ the slice with the k-th value becomes the next range, until a slice is one integ
 keeps what lies above the k-th value, and of the ties at it the smallest ids that are still needed.
 Scores are recomputed in each pass; no score table is ever stored or shuffled.
 
+Queries are taken in pages that are bounded by `block` and `block_bytes`; a page costs one scan of the candidates
+for each pass. What a page finds is appended to one table in the shared folder, so the plan does not grow with
+the number of pages.
+
 Defined cases: rows whose id or vector is null, or whose vector holds a null or non-finite component,
-take no part. Repeated candidate rows count each; of query rows that share an id the smallest vector
-counts. A candidate with another length than the query's takes no part in that query's ranking. Fewer than k candidates: all are returned. Empty
-tables give an empty result. Components and scores beyond 64 bits saturate.
+take no part. Repeated candidate rows count each; of the usable query rows that share an id the smallest vector
+counts. A candidate with another length than the query's takes no part in that query's ranking. Fewer than k
+candidates: all are returned. Empty tables give an empty result. Components saturate at 2^63 and scores at
+2^63 - 1, above and below zero.
 """
 
 from __future__ import annotations
@@ -20,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeflow.session import ship, table, trimmed
+from cladeflow.session import scratch, ship, table, trimmed, written
 
 #: Where products and their sums stay below this, doubles hold them exactly.
 EXACT = 2.0**53
-SATURATE = 2**62
+FOUND = "query_id long, vec_id long, score long"
+SATURATE = 2**63 - 1
+#: Counts that a task holds: queries of a page times slices.
+CELLS = 4 << 20
 
 
 def _usable(ids: pa.Array, vectors: pa.Array, scale: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -43,7 +51,7 @@ def _usable(ids: pa.Array, vectors: pa.Array, scale: float) -> list[tuple[np.nda
         m = flat[start[rows][:, None] + np.arange(d)] if d else np.zeros((len(rows), 0))
         fine = np.isfinite(m).all(axis=1)
         with np.errstate(over="ignore"):
-            m = np.clip(np.floor(m[fine] * scale), -SATURATE, SATURATE)
+            m = np.clip(np.floor(m[fine] * scale), -(2.0**63), 2.0**63)
         out.append((ids[rows[fine]], m))
     return out
 
@@ -115,46 +123,48 @@ def _select(batches, plan: dict, scale: float):
         yield rows(q, ids, kth[q])
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, block: int = 1024, bins: int = 4096, block_bytes: int = 32 << 20) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, block: int = 16384, bins: int = 4096, block_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query, the query's own id excepted.
 
     `block` queries at most (and `block_bytes` of their vectors) are held by the driver and sent out at
-    once; the candidates are scanned again for each block, so no task holds more than a block of queries
-    and a batch of candidates, however many there are of either.
+    once; the candidates are scanned again for each page, so no task holds more than a page of queries, CELLS
+    counts and a batch of candidates, however many there are of any.
     """
     spark = candidates.sparkSession
     ship(spark)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"))
     cand = pick(candidates)
-    todo = pick(queries).where(F.col("i").isNotNull() & F.col("v").isNotNull()).groupBy("i").agg(F.min("v").alias("v"))
+    # Rows that take no part go first: one of them must not stand for the others of its id.
+    unusable = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = pick(queries).where(F.col("i").isNotNull() & F.col("v").isNotNull()).where(~unusable)
+    todo = written(usable.groupBy("i").agg(F.min("v").alias("v")), "queries")
     head = cand.where("i is not null and v is not null").agg(F.max(F.array_max(F.transform("v", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.abs(x))))), F.max(F.size("v"))).first()
     peak, dims = float(head[0] or 0.0), int(head[1] or 0)
     block = max(1, min(block, block_bytes // max(1, 8 * dims)))
-    out, last = [], None
+    path, last, pages = scratch(spark, "best"), None, 0
     while True:
         page = todo if last is None else todo.where(F.col("i") > last)
         rows = page.orderBy("i").limit(block).collect()
         if not rows:
             break
         last = rows[-1]["i"]
-        out.append(_one_block(cand, rows, k, scale, bins, peak))
+        _one_page(cand, rows, k, scale, max(2, min(bins, CELLS // len(rows))), peak).write.mode("append").parquet(path)
+        pages += 1
         if len(rows) < block:
             break
-    empty = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    found = out[0] if out else empty
-    for df in out[1:]:
-        found = found.union(df)
+    found = spark.read.schema(FOUND).parquet(path) if pages else spark.createDataFrame([], FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _one_block(cand: DataFrame, rows: list, k: int, scale: float, bins: int, peak: float) -> DataFrame:
+def _one_page(cand: DataFrame, rows: list, k: int, scale: float, bins: int, peak: float) -> DataFrame:
     sc = cand.sparkSession.sparkContext
     by_length, ids, bound, done = {}, [], [], 0
     for i, m in _usable(pa.array([r["i"] for r in rows], pa.int64()), pa.array([r["v"] for r in rows], pa.list_(pa.float64())), scale):
         by_length[m.shape[1]] = (np.arange(done, done + len(i)), m)
         ids.append(i)
-        bound += [min(SATURATE, int(x * min(float(SATURATE), np.ceil(peak * scale) + 1)) + 1) for x in np.abs(m).sum(axis=1)]
+        # Sums of large doubles are rounded: a little more than they say.
+        bound += [min(SATURATE, int(x * min(2.0**63, np.ceil(peak * scale) + 1) * (1 + 1e-9)) + 1) for x in np.abs(m).sum(axis=1)]
         done += len(i)
     plan = {"by_length": by_length, "ids": np.concatenate(ids) if ids else np.zeros(0, np.int64), "bins": bins}
     n = len(plan["ids"])
@@ -190,7 +200,7 @@ def _one_block(cand: DataFrame, rows: list, k: int, scale: float, bins: int, pea
             open_[q], kth[q] = False, -SATURATE - 1
     plan |= {"kth": kth, "ties": need}
     sent = sc.broadcast(plan)
-    return cand.mapInArrow(trimmed(lambda b, sent=sent, scale=scale: _select(b, sent.value, scale), 10_000), "query_id long, vec_id long, score long")
+    return cand.mapInArrow(trimmed(lambda b, sent=sent, scale=scale: _select(b, sent.value, scale), 10_000), FOUND)
 
 
 def divisible(column: str, by: int) -> Column:

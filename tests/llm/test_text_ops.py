@@ -199,6 +199,19 @@ def test_sample_beside_many_junk_values(spark):
     assert splits.shares({"a": 1000, "b": 7}, 400, 8000) == {"a": 400, "b": 7}
 
 
+def test_numerals_are_no_letters():
+    m = language_id.Model({"en": ["the cat sat on the mat " * 30], "fr": ["le chat est sur le lit " * 30]})
+    assert m.predict(["½ ²", "Ⅷ", "①", "12 ٣", "_", "", None, "ª", "é", "漢"])[0][:7] == ["und"] * 7
+    assert "und" not in m.predict(["ª", "é", "漢", "the ½"])[0]
+
+
+def test_sample_is_bounded_in_characters_and_values(spark):
+    rows = [(i, f"l{i % 50:02d}", 1000) for i in range(5000)]
+    df = spark.createDataFrame(rows, "i long, l string, n long")
+    got = splits.bounded(df, "l", "i", 40, 1000, "n", 200_000, values=10).collect()
+    assert 150 <= len(got) <= 250 and {r.l for r in got} == {f"l{i:02d}" for i in range(10)}
+
+
 def test_language_odd_frames(spark):
     rows = [(1, "the cat sat", "en", "s", 0), (None, "the cat", None, None, 0), (3, None, "en", None, 0), (4, "12", None, None, 0), (5, "le chat " * 40_000, "fr", None, 0), (5, "le chat " * 40_000, "fr", None, 0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", score int")

@@ -20,11 +20,11 @@ def brute(rows, k, every):
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             import numpy as np
 
-            q.append((i, [max(-(2**62), min(2**62, math.floor(1024.0 * float(np.float32(x))))) for x in v]))
+            q.append((i, [max(-(2**63), min(2**63, math.floor(1024.0 * float(np.float32(x))))) for x in v]))
     out = set()
     for i, v in {i: v for i, v in sorted(q, reverse=True)}.items():
         if i % every == 0:
-            best = sorted((-max(-(2**62), min(2**62, sum(a * b for a, b in zip(v, w, strict=True)))), j) for j, w in q if j != i and len(w) == len(v))[:k]
+            best = sorted((-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), j) for j, w in q if j != i and len(w) == len(v))[:k]
             out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
     return out
 
@@ -50,6 +50,22 @@ def test_top_k_few_and_none(spark):
     assert topk.top_k(df.limit(0), df).count() == topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_unusable_rows_do_not_stand_for_their_id(spark):
+    rows = [(100, [None, 1.0], 0), (100, [0.5, 0.5], 0), (200, [float("-inf"), 0.0], 0), (200, [1.0, 0.0], 0), (200, [2.0, 0.0], 0), (1, [1.0, 1.0], 0), (300, [float("nan")] * 2, 0)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {tuple(x) for x in topk.top_k(df.where("vec_id % 100 = 0"), df, k=3).collect()}
+    assert got == brute(rows, 3, 100) and {x[0] for x in got} == {100, 200}
+
+
+def test_top_k_over_many_pages(spark):
+    r = random.Random(4)
+    rows = [(i, [r.choice((0.0, 0.25, 1.0)) for _ in range(3)], 0) for i in range(60)]
+    df = spark.createDataFrame(rows, VECTORS)
+    found = topk.top_k(df, df, k=2, block=16)
+    assert {tuple(x) for x in found.collect()} == brute(rows, 2, 1)
+    assert "Union" not in found._jdf.queryExecution().toString()
+
+
 PAGES = "page_id long, url string, html string, digest string"
 
 

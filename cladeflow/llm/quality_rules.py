@@ -1,24 +1,21 @@
 """Quality rules: counts of words, symbols and repetition, and lines that too many documents of a host share.
 
 DataFrame functions only. The counts of a document come from its own row. For shared lines, each
-document's lines are normalised (lower case, blanks to one space, trimmed) and hashed; a line is common
-where more than `limit_docs` documents of its host have it, however many the host holds. Copies and near
-copies of one document share their lines too, yet they are no boilerplate (finding them is the task of
-near-duplicate detection), so documents count once a group of copies. A group is told by one line: the least
-of the document's own lines, or, where it has none, its rarest common line. An own line is one that is
-neither common nor an edited common line, which shares the first or last words, or the least hash of three
-successive words, with one. Rarest lines that copies have edited away are led back to the line that most
-documents with the replacement are told by. A common line is above the limit with more than `limit_docs`
-groups; up to 2 * limit_docs documents, half as many groups as documents are enough. A document that loses
-more than `depleted` of its words with those lines is rejected; `clean_text` is its text without
-those lines, all else in it unchanged.
-
-A line that a third of all documents share costs one row a task in the counts (they are combined before
-the shuffle), and the join of lines with the few common ones can be split by Spark. Near copies edited
-beyond recognition in a line each, without a trace of the original in it, count as documents of their own.
+document's lines are normalised (lower case, blanks to one space, trimmed) and hashed, and the distinct
+documents of a host that have a line are counted; a document is told by the hash of its whole text, so exact
+copies count as one (finding them is the task of near-duplicate detection). Lines in more than
+`limit_docs` distinct documents of a host are removed, however many the host holds. A document that loses more
+than `depleted` of its words with those lines is rejected; `clean_text` is its text without those lines, all
+else in it unchanged.
+
+Each text is read once, for its counts and its line hashes (with their words), which are written to the shared
+folder. Everything else joins and adds these numbers: no text is shuffled for the verdicts. A line that a third
+of all documents share is spread over the tasks by document before it is counted, and the few lines above the
+limit meet the others in a join that Spark can split. Only `keep_good` and `quality_rules`, which give texts
+back, join verdicts to the rows.
 
 Defined cases: null text has no words and fails the base rules; a null host is a host of its own; repeated
-rows are documents each and share a verdict; an empty table gives none; other columns pass through
+rows are copies and share a verdict; near copies are documents of their own; an empty table gives none; other columns pass through
 where their names do not clash with the new ones, which replace them.
 """
 
@@ -34,7 +31,6 @@ BLANKS = r"[\x20\x09-\x0D]+"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 CLEAN = "clean_text"
-MARKS = ("first", "last", "middle")
 
 
 def line_hash(line: Column) -> Column:
@@ -70,115 +66,89 @@ def counts(docs: DataFrame, text_col: str = "text", extra: list[str] | None = No
     return c.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(F.when(F.col("_s").isNotNull(), repeated_words(F.col("_s"), F.col("_s"))), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def distinct_lines(docs: DataFrame, key: list[Column], host: Column, text: Column) -> DataFrame:
-    """key, _host, hash h of each different line, and hashes of its first and last words and of a middle (null below three words)."""
-    plain = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1), lambda x: F.trim(F.regexp_replace(x, BLANKS, " "))), lambda x: x != "")
-    split = F.transform(F.array_distinct(plain), lambda x: F.struct(line_hash(x).alias("h"), F.split(x, " ").alias("w")))
-    few = lambda w: F.least(F.lit(3), F.floor((F.size(w) + 1) / 2).cast("int"))
-    triples = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    lines = F.transform(
-        split,
-        lambda x: F.struct(
-            x["h"].alias("h"),
-            F.xxhash64(F.lit("first"), F.slice(x["w"], 1, few(x["w"]))).alias("first"),
-            F.xxhash64(F.lit("last"), F.slice(x["w"], -few(x["w"]), few(x["w"]))).alias("last"),
-            F.when(F.size(x["w"]) >= 3, F.array_min(triples(x["w"]))).alias("middle"),
-        ),
-    )
-    # explode_outer: for explode Spark would put a filter on the array below it, and compute it twice.
-    a = docs.select(*key, host.alias("_host"), F.explode_outer(lines).alias("_x"))
-    return a.where(F.col("_x").isNotNull()).select(*(c for c in a.columns if c != "_x"), "_x.h", *(f"_x.{c}" for c in MARKS))
+def measured(docs: DataFrame, ident: list[Column], host: Column, text: Column) -> DataFrame:
+    """A written table with a row per row of docs: rid, _id, _k, _host, the text's hash _th, its counts, and its
+    normalised lines as an array of (hash, words)."""
+    plain = F.filter(F.transform(F.split(F.lower(F.coalesce("_text", F.lit(""))), "\n", -1), lambda x: F.trim(F.regexp_replace(x, BLANKS, " "))), lambda x: x != "")
+    lines = F.transform(plain, lambda x: F.struct(line_hash(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+    rows = docs.select(*ident, host.alias("_host"), text.alias("_text"))
+    rows = rows.select("_id", "_k", "_host", "_text", F.coalesce(line_hash(F.col("_text")), F.lit(-1)).alias("_th"), lines.alias("_lines"))
+    stats = counts(rows, "_text", ["_id", "_k", "_host", "_th", "_lines"])
+    return written(stats.withColumn("rid", F.monotonically_increasing_id()), "measured")
 
 
-def mark(name: str) -> Column:
-    """One of a line's MARKS together with its host."""
-    return F.when(F.col(name).isNotNull(), F.xxhash64("_host", name))
+def shared_lines(rows: DataFrame, limit_docs: int) -> DataFrame:
+    """(_host, h) of the lines that more than limit_docs distinct documents of a host have."""
+    lines = rows.select("_host", "_th", F.explode("_lines.h").alias("h"))
+    return lines.groupBy("_host", "h").agg(F.countDistinct("_th").alias("docs")).where(F.col("docs") > limit_docs).select("_host", "h")
 
 
-def common_lines(docs: DataFrame, host: Column, text: Column, limit_docs: int) -> DataFrame:
-    """_host, h, number of documents `docs` and MARKS of the lines that more than limit_docs documents of a host have."""
-    lines = distinct_lines(docs, [], host, text).groupBy("_host", "h").agg(F.count(F.lit(1)).alias("docs"), *(F.first(c).alias(c) for c in MARKS))
-    return lines.where(F.col("docs") > limit_docs)
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 10, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+    """_id, _k (a hash of host and text), the columns NEW and the removed lines `_gone` (null for none) of every row."""
+    text = F.col(text_col).cast("string")
+    rows = measured(docs, [F.col(id_col).alias("_id"), row_key(text_col, host_col).alias("_k")], F.col(host_col), text)
+    shared = shared_lines(rows, limit_docs).withColumnsRenamed({"_host": "_on", "h": "_line"})
+    lines = rows.select("rid", "_host", F.explode("_lines").alias("x")).select("rid", "_host", "x.h", "x.n")
+    hit = lines.join(shared, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("h") == F.col("_line")))
+    hit = hit.groupBy("rid").agg(F.sum("n").cast("long").alias("removed_words"), F.collect_set("h").alias("_gone"))
+    both = rows.drop("_lines", "_host", "_th").join(hit, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * F.lit(max_repeat))
+    lost = F.col("removed_words") > F.col("n_words") * F.lit(depleted)
+    return both.select("_id", "_k", *NEW[:6], failed.alias("base_failed"), (~(failed | lost)).alias("kept"), "_gone")
 
 
-def common_by_document(lines: DataFrame, common: DataFrame, edited: DataFrame) -> DataFrame:
-    """_id, _k, _host, the common lines `_common`, the least own line `_own` and the rarest common one `_rare` of documents with common lines."""
-    at = common.select(F.col("_host").alias("_on"), F.col("h").alias("_line"), "docs")
-    a = lines.join(at, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("h") == F.col("_line")), "left")
-    for c in MARKS:
-        a = a.join(edited.withColumnRenamed("mark", f"_{c}"), mark(c) == F.col(f"_{c}"), "left")
-    own = F.col("docs").isNull()
-    for c in MARKS:
-        own = own & F.col(f"_{c}").isNull()
-    has = F.col("docs").isNotNull()
-    # Repeated rows have the same lines: a line counts once for all of them.
-    b = a.groupBy("_id", "_k").agg(F.first("_host").alias("_host"), F.collect_set(F.when(has, F.col("h"))).alias("_common"), F.min(F.when(own, F.col("h"))).alias("_own"), F.min(F.when(has, F.struct("docs", "h")))["h"].alias("_rare"))
-    return b.where(F.col("_rare").isNotNull())
+def row_key(text_col: str, host_col: str) -> Column:
+    """With the id it tells rows apart that differ in what the rules look at; of null text and empty text the verdict is the same."""
+    return F.xxhash64(F.col(host_col), F.col(text_col).cast("string"))
 
 
-def shared_lines(by_doc: DataFrame, common: DataFrame, limit_docs: int) -> DataFrame:
-    """(_host, h) of the common lines that enough groups of copies have."""
-    a = by_doc.select("_host", F.explode("_common").alias("h"), F.col("_own").isNotNull().alias("own"), F.coalesce("_own", "_rare").alias("told"))
-    a = a.groupBy("_host", "h", "own", "told").agg(F.count(F.lit(1)).alias("d"))
-    rare = a.where(~F.col("own"))
-    mostly = rare.groupBy(F.col("_host").alias("_on"), F.col("h").alias("_line")).agg(F.max(F.struct("d", "told"))["told"].alias("by"))
-    rare = rare.join(mostly, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("told") == F.col("_line"))).select("_host", "h", "own", F.col("by").alias("told")).distinct()
-    groups = a.where("own").select("_host", "h", "own", "told").union(rare).groupBy(F.col("_host").alias("_on"), F.col("h").alias("_line")).agg(F.count(F.lit(1)).alias("groups"))
-    b = common.join(groups, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("h") == F.col("_line")))
-    return b.where(2 * F.col("groups") >= F.least(F.col("docs"), F.lit(2 * limit_docs + 1))).select("_host", "h")
+def without(text: Column, gone: Column) -> Column:
+    """text without the lines whose hashes are in `gone`."""
+    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))
+    left = F.filter(F.split(text, "\n", -1), lambda x: (norm(x) == "") | ~F.array_contains(gone, line_hash(norm(x))))
+    return F.when(gone.isNotNull(), F.array_join(left, "\n")).otherwise(text)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 10, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
-    """Every row as a struct `_row` with the columns NEW and CLEAN beside it."""
+def beside(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """Every row as a struct `_row`, with the columns of verdicts (_id, _k and others) for it, or nulls."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    text = F.col(text_col).cast("string")
-    ident = [F.col(id_col).alias("_id"), F.xxhash64(F.col(host_col), text).alias("_k")]
-    common = written(common_lines(docs, F.col(host_col), text, limit_docs), "common-lines")
-    edited = written(common.select(F.explode(F.array(*(mark(c) for c in MARKS))).alias("mark")).where(F.col("mark").isNotNull()).distinct(), "common-marks")
-    by_doc = written(common_by_document(distinct_lines(docs, ident, F.col(host_col), text), common, edited), "common-by-document")
-    shared = shared_lines(by_doc, common, limit_docs).withColumnsRenamed({"_host": "_on", "h": "_line"})
-    hit = by_doc.select("_id", "_k", "_host", F.explode("_common").alias("h")).join(shared, F.col("_host").eqNullSafe(F.col("_on")) & (F.col("h") == F.col("_line")))
-    per_doc = hit.groupBy("_id", "_k").agg(F.collect_set("h").alias("_gone")).withColumnsRenamed({"_id": "_id2", "_k": "_k2"})
-    stats = counts(docs.select(*ident, row, text.alias("_text")), "_text", ["_id", "_k", "_row"])
-    joined = stats.join(per_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_k") == F.col("_k2")), "left")
-    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))
-    own = F.col("_row")[text_col].cast("string")
-    above = lambda x: (norm(x) != "") & F.array_contains("_gone", line_hash(norm(x)))
-    gone = F.aggregate(F.filter(F.split(own, "\n", -1), above), F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(norm(x), " ")))
-    removed = joined.withColumn("removed_words", F.coalesce(F.when(F.col("_gone").isNotNull(), gone), F.lit(0)).cast("long"))
-    clean = F.when(F.col("_gone").isNotNull(), F.array_join(F.filter(F.split(own, "\n", -1), lambda x: ~above(x)), "\n")).otherwise(own)
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * F.lit(max_repeat))
-    lost = F.col("removed_words") > F.col("n_words") * F.lit(depleted)
-    return removed.select("_row", *NEW[:6], failed.alias("base_failed"), (F.greatest(failed.cast("int"), lost.cast("int")) == 0).alias("kept"), clean.alias(CLEAN))
+    rows = docs.select(row, F.col(id_col).alias("_id1"), row_key(text_col, host_col).alias("_k1"))
+    return rows.join(verdicts, F.col("_id1").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_k")), "left")
 
 
-def quality_rules(docs: DataFrame, **options) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
     """docs with the columns NEW and CLEAN; a column of docs by one of these names is replaced."""
-    rows = judged(docs, **options)
-    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in (*NEW, CLEAN)), *NEW, CLEAN)
-
-
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep, without the lines above the limit; n_chars is brought up to date where lines went."""
-    # `kept` is one expression on both sides of the join: parts of a conjunction would move below the
-    # expressions that they rest on and have them computed again for every word.
-    rows = judged(docs, **options).where("kept")
-    text_col, kind = options.get("text_col", "text"), dict(docs.dtypes)
-    new = {text_col: F.col(CLEAN).cast(kind[text_col])}
+    verdicts = written(judged(docs, id_col, text_col, host_col, **options), "verdicts").dropDuplicates(["_id", "_k"])
+    rows = beside(docs, verdicts, id_col, text_col, host_col)
+    clean = without(F.col("_row")[text_col].cast("string"), F.col("_gone")).alias(CLEAN)
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in (*NEW, CLEAN)), *NEW, clean)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The rows of docs that the rules keep, without the lines above the limit; n_chars is brought up to date where lines went.
+
+    Only the verdicts of rows that go or lose lines are joined to the rows.
+    """
+    verdicts = written(judged(docs, id_col, text_col, host_col, **options).where("not kept or _gone is not null").select("_id", "_k", "kept", "_gone"), "verdicts")
+    rows = beside(docs, verdicts.dropDuplicates(["_id", "_k"]), id_col, text_col, host_col).where("coalesce(kept, true)")
+    kind = dict(docs.dtypes)
+    own = F.col("_row")[text_col]
+    new = {text_col: F.when(F.col("_gone").isNotNull(), without(own.cast("string"), F.col("_gone")).cast(kind[text_col])).otherwise(own)}
+    rows = rows.select("_row", "_gone", new[text_col].alias("_new"))
+    new = {text_col: F.col("_new")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("removed_words") > 0, F.char_length(CLEAN).cast(kind["n_chars"])).otherwise(F.col("_row")["n_chars"])
+        new["n_chars"] = F.when(F.col("_gone").isNotNull(), F.char_length("_new").cast(kind["n_chars"])).otherwise(F.col("_row")["n_chars"])
     return rows.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: counts and verdict of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_rules(docs).select("doc_id", *(c for c in NEW if c != "removed_words"), "removed_words")
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("_id").alias("doc_id"), *NEW)
 
 
 ORACLE = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, md5(text) AS th FROM documents
 ), w AS (
   SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
 ), win AS (
@@ -189,21 +159,14 @@ WITH d AS (
 ), cover AS (
   SELECT rid, count(DISTINCT p + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid
 ), lines AS (
-  SELECT rid, source, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS x
-  FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d)
+  SELECT rid, th, source, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS x
+  FROM (SELECT rid, th, source, unnest(string_split(t, chr(10))) AS line FROM d)
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE x <> '' GROUP BY rid
 ), hashed AS (
-  SELECT rid, source, ('0x' || substr(md5(x), 1, 15))::BIGINT AS h, len(string_split(x, ' ')) AS n FROM lines WHERE x <> ''
-), sig AS (
-  SELECT rid, min(h) AS a, max(h) AS b FROM hashed GROUP BY rid
-), freq AS (
-  SELECT source, h, count(*) AS docs, count(DISTINCT (a, b)) AS contexts
-  FROM (SELECT DISTINCT rid, source, h FROM hashed) JOIN sig USING (rid) GROUP BY source, h
+  SELECT rid, th, source, ('0x' || substr(md5(x), 1, 15))::BIGINT AS h, len(string_split(x, ' ')) AS n FROM lines WHERE x <> ''
 ), shared AS (
-  SELECT f.source, f.h FROM freq f JOIN (SELECT source, count(*) AS n FROM d GROUP BY source) s
-    ON f.source IS NOT DISTINCT FROM s.source
-  WHERE docs > 10 AND 2 * contexts >= docs AND docs > n * 0.001
+  SELECT source, h FROM hashed GROUP BY source, h HAVING count(DISTINCT th) > 10
 ), gone AS (
   SELECT rid, sum(n) AS n FROM hashed JOIN shared ON hashed.h = shared.h AND hashed.source IS NOT DISTINCT FROM shared.source GROUP BY rid
 ), s AS (

@@ -11,6 +11,9 @@ output is mapped back to code points of the source, through all three. A disguis
 covers a rewritten piece and is not inside a plain span of its kind (of an address whose first half is
 disguised, the patterns see the rest); plain spans always stay.
 
+A run of spelled digits needs three words or numbers, two of them spelled digits, to be read as a number. All
+scans are linear in the text: no window and no cap bounds a local part, a domain or the number of dots.
+
 Defined cases: null and empty texts have no spans; texts are never cut; rows repeat with their spans;
 offsets are code points with an exclusive end; spans are ordered by start, then kind, then end.
 """
@@ -19,7 +22,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +108,11 @@ class Rewritten:
         self.text = "".join(out)
         self.begins = [p[0] for p in self.pieces]
 
+    def touches(self, begin: int, end: int) -> bool:
+        """Whether a span of the output holds a rewritten piece, or a part of one."""
+        i = bisect_left(self.begins, end) - 1  # the last piece before the end: those before it end sooner
+        return i >= 0 and self.pieces[i][1] > begin
+
     def source(self, begin: int, end: int) -> tuple[int, int]:
         """The span of the input behind a span that is not empty of the output."""
         return self._left(begin), self._right(end)
@@ -161,10 +170,10 @@ DIGIT = {w: str(i) for i, words in enumerate(SPELLED) for w in words.split()}
 SIGN = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-"}
 WORD = "|".join(sorted([*DIGIT, *SIGN, "double", "triple"], key=len, reverse=True))
 DIGIT_WORD = "|".join(sorted(DIGIT, key=len, reverse=True))
-GAP = r"[ \t,\-/()]+"
+GAP = r"[ \t,\-/()]++"
 #: Words that say how often the next digit stands.
 TIMES = {"double": 2, "triple": 3}
-#: At least three spelled or written digits in a row, one of them spelled.
+#: At least three spelled or written digits or signs in a row; of them two must be spelled digits.
 RUN = re.compile(rf"(?<![\w])(?:(?:{WORD})|[0-9]+|\+)(?:{GAP}(?:(?:{WORD})(?!\w)|[0-9]+(?!\w)))" + "{2,}", re.I)
 #: Cheap tests before that: a word of these must be there (the others are common words, no run has them alone).
 TELLING = frozenset(DIGIT) - {"un", "une", "oh"}
@@ -189,59 +198,106 @@ def spelled_digits(text: str) -> Rewritten | None:
 
 
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-AT = rf"(?:[ \t]*{OPEN}[ \t]*(?:at|@|arroba)[ \t]*{CLOSE}[ \t]*|[ \t]*&(?:#64|#x40|commat);[ \t]*|%40|_at_|-at-)"
-DOT = rf"(?:[ \t]*{OPEN}[ \t]*(?:dot|\.|punkt|punto|point)[ \t]*{CLOSE}[ \t]*|[ \t]*&(?:#46|#x2e|period);[ \t]*|_dot_|-dot-)"
-SPACED_AT = r"[ \t]+(?:at|@|arroba)[ \t]+|[ \t]+@|@[ \t]+"
-SPACED_DOT = r"[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]+\.[ \t]+"
-LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+#: A sign takes the blanks around it; none begins inside a run of blanks, so each run is read once.
+BEGIN = r"(?<![ \t])[ \t]*+"
+AT = rf"(?:{BEGIN}{OPEN}[ \t]*+(?:at|@|arroba)[ \t]*+{CLOSE}[ \t]*+|{BEGIN}&(?:#64|#x40|commat);[ \t]*+|%40|_at_|-at-)"
+DOT = rf"(?:{BEGIN}{OPEN}[ \t]*+(?:dot|\.|punkt|punto|point)[ \t]*+{CLOSE}[ \t]*+|{BEGIN}&(?:#46|#x2e|period);[ \t]*+|_dot_|-dot-)"
+SPACED_AT = r"(?:(?<![ \t])[ \t]++(?:at|@|arroba)[ \t]++|(?<![ \t])[ \t]++@|@[ \t]++)"
+SPACED_DOT = r"(?<![ \t])[ \t]++(?:dot|punkt|punto|\.)[ \t]++"
+#: Every sign that an address may be built with, disguised or not, from left to right.
+ANY_SIGN = re.compile(rf"(?=[ \t\[({{<&%_@.-])(?:({AT})|({SPACED_AT}|@)|({DOT}|{SPACED_DOT})|\.)", re.I)
+PLAIN_DOT, STRONG_AT, SOME_AT, SOME_DOT = 0, 1, 2, 3
+LABEL_RUN = re.compile(r"[A-Za-z0-9-]++")
 #: Last labels after which an address is believed though only its "at" is spelled, and the dots are plain.
-ENDINGS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu"
-#: Addresses with a disguised "@", with a disguised dot, or with a spelled "at" and a well-known ending.
-ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+.-]*?[A-Za-z0-9_%+](?:(?:{DOT}|{SPACED_DOT})[A-Za-z0-9_%+-]+){{0,4}}(?:{AT}|{SPACED_AT}|@)"
-    rf"{LABEL}(?:(?:{DOT}|{SPACED_DOT}|\.){LABEL})+",
-    re.I,
-)
+ENDINGS = frozenset("com org net edu gov info io de fr es uk eu".split())
 #: Cheap tests on the lower-case text: a bracketed or coded sign or a spelled dot; a blank beside "@"; a
 #: spelled "at"; a name with a well-known ending.
-SIGN_GATE = re.compile(r"(?:at|dot|[@.]|arroba|punkt|punto|point)[ \t]*[\])}>]|&(?:#|commat|period)|%40|[_-](?:at|dot)[_-]|[ \t](?:dot|punkt|punto|\.)[ \t]")
+SIGN_GATE = re.compile(r"(?:at|dot|[@.]|arroba|punkt|punto|point)[ \t]*+[\])}>]|&(?:#|commat|period)|%40|[_-](?:at|dot)[_-]|[ \t](?:dot|punkt|punto|\.)[ \t]")
 SPACED_GATE = re.compile(r"@[ \t]|[ \t]@")
 AT_WORD_GATE = re.compile(r"[ \t](?:at|arroba)[ \t]")
-WELL_KNOWN_GATE = re.compile(rf"\.(?:{ENDINGS})(?![a-z0-9-])")
-ANY_AT = re.compile(rf"{AT}|{SPACED_AT}|@", re.I)
-STRONG_AT = re.compile(AT, re.I)
-ANY_DOT = re.compile(rf"{DOT}|{SPACED_DOT}", re.I)
+WELL_KNOWN_GATE = re.compile(rf"\.(?:{'|'.join(sorted(ENDINGS))})(?![a-z0-9-])")
 NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:{DOT}|{SPACED_DOT})(?=[0-9])", re.I)
-WELL_KNOWN = re.compile(rf"\.(?:{ENDINGS})\Z", re.I)
+
+
+class Signs:
+    """Where the signs of a text begin and end, and their kinds."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.begins, self.ends, self.kinds = text, array("q"), array("q"), array("b")
+        for m in ANY_SIGN.finditer(text):
+            self.begins.append(m.start())
+            self.ends.append(m.end())
+            self.kinds.append(m.lastindex or PLAIN_DOT)
+
+    def local_begin(self, at: int, done: int) -> int | None:
+        """Where the local part before sign `at` begins, not before `done`: local characters, parted by dots of any kind."""
+        text, end, i = self.text, self.begins[at], at
+        begin = end
+        while True:
+            piece, lowest = begin, max(done, self.ends[i - 1] if i else 0)
+            while begin > lowest and text[begin - 1] in LOCAL_CHARS:
+                begin -= 1
+            if begin == end:
+                return None
+            if begin > lowest or not i or self.begins[i - 1] <= done:
+                return begin
+            kind, before = self.kinds[i - 1], self.begins[i - 1]
+            if kind in (STRONG_AT, SOME_AT) or kind == SOME_DOT and (begin == piece or text[before - 1] not in LOCAL_CHARS):
+                return begin
+            begin, i = before, i - 1
+
+    def domain_end(self, at: int) -> tuple[int, int] | None:
+        """(end, number of its last dot) of the domain after sign `at`: labels parted by dots of any kind, at least one dot."""
+        text, i, found = self.text, at, None
+        while True:
+            begin, more = self.ends[i], i + 1 < len(self.begins)
+            stop = self.begins[i + 1] if more else len(text)
+            m = LABEL_RUN.match(text, begin, stop)
+            label = m[0].rstrip("-") if m else ""
+            if not label or label[0] == "-":
+                return found
+            if i > at:
+                found = begin + len(label), i
+            if begin + len(label) < stop or not more or self.kinds[i + 1] in (STRONG_AT, SOME_AT):
+                return found
+            i += 1
 
 
 def disguised_signs(text: str) -> Rewritten | None:
-    """Spelled or bracketed "at" and "dot" to signs, where an address or a number is built with them."""
+    """Spelled or bracketed "at" and "dot" to signs, where an address or a number is built with them.
+
+    The signs part the text; an address is a sign for "@" with the pieces around it, as far as they hold nothing
+    but characters of a name. A piece is looked at once as a local part and once as a domain, so the time
+    is linear in the text, whatever the length of an address and the number of its dots.
+    """
     low = text.lower()
     edits: list[tuple[int, int, str]] = []
     spelled = SIGN_GATE.search(low) is not None
     at_word = AT_WORD_GATE.search(low) is not None and (spelled or WELL_KNOWN_GATE.search(low) is not None)
     if spelled or at_word or SPACED_GATE.search(low):
-        for gate in ANY_AT.finditer(text):
-            if edits and gate.start() < edits[-1][1]:
-                continue
-            # The local part: back over at most 128 characters, the longest that an address may have, from the sign.
-            begin = max(edits[-1][1] if edits else 0, gate.start() - 128)
-            m = next((x for x in ADDRESS.finditer(text, begin, min(len(text), gate.end() + 320)) if x.start() < gate.start() and x.end() > gate.end()), None)
-            if not m:
+        signs, done = Signs(text), 0
+        for k, kind in enumerate(signs.kinds):
+            at, after_at = signs.begins[k], signs.ends[k]
+            if kind not in (STRONG_AT, SOME_AT) or at < done:
                 continue
-            at = next((x for x in ANY_AT.finditer(text, m.start(), m.end()) if x.start() >= gate.start()), None)
-            if not at:
+            found = signs.domain_end(k)
+            begin = found and signs.local_begin(k, done)
+            if begin is None or found is None:
                 continue
-            own = [(at.start(), at.end(), "@")] if at[0] != "@" else []
-            dots = [(x.start(), x.end(), ".") for x in ANY_DOT.finditer(text, m.start(), m.end()) if x.end() <= at.start() or x.start() >= at.end()]
-            sure = bool(STRONG_AT.fullmatch(at[0])) or at[0].strip() == "@" or any(x[0] > at.end() - 1 for x in dots) or WELL_KNOWN.search(m[0])
-            if (own or dots) and sure:
-                edits += sorted(own + dots)
+            end, last = found
+            first = bisect_left(signs.begins, begin, 0, k)
+            dots = [[(signs.begins[j], signs.ends[j], ".") for j in part if signs.kinds[j] == SOME_DOT] for part in (range(first, k), range(k + 1, last + 1))]
+            own = [(at, after_at, "@")] if text[at:after_at] != "@" else []
+            known = signs.kinds[last] == PLAIN_DOT and text[signs.ends[last] : end].lower() in ENDINGS
+            sure = kind == STRONG_AT or text[at:after_at].strip() == "@" or dots[1] or known
+            if (own or dots[0] or dots[1]) and sure:
+                edits += [*dots[0], *own, *dots[1]]
+                done = end
     if spelled:
-        taken = [(a, b) for a, b, _ in edits]
-        edits += [(x.start(), x.end(), ".") for x in NUMBER_DOT.finditer(text) if not any(a < x.end() and x.start() < b for a, b in taken)]
-        edits.sort()
+        begins = [a for a, _, _ in edits]
+        dots = [(x.start(), x.end(), ".") for x in NUMBER_DOT.finditer(text)]
+        free = [x for x in dots if (i := bisect_left(begins, x[1])) == 0 or edits[i - 1][1] <= x[0]]
+        edits = sorted(edits + free)
     return Rewritten(text, edits) if edits else None
 
 
@@ -258,12 +314,14 @@ def find_spans(text: str) -> list[tuple[int, int, int, bool]]:
             steps.append(r)
             now = r.text
     if steps:
+        ends = [[(x, y) for x, k2, y in plain if k2 == k] for k in range(len(KINDS))]
         for a, k, b in plain_spans(now):
             changed = False
             for r in reversed(steps):
-                changed = changed or any(lo < b and (hi > a or lo == hi > a) for lo, hi, _, _ in r.pieces)
+                changed = changed or r.touches(a, b)
                 a, b = r.source(a, b)
-            if changed and not any(k == k2 and a2 <= a and b <= b2 for a2, k2, b2 in plain):
+            i = bisect_right(ends[k], (a, len(text))) - 1
+            if changed and not (i >= 0 and b <= ends[k][i][1]):
                 out.append((a, k, b, False))
         out.sort()
     return out

@@ -59,6 +59,71 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert found == [(kind, span, False)]
 
 
+AT_FORMS = (" [at] ", "(at)", " at ", "&#64;", "%40", "_at_", " @ ", "@", " (@) ", " {AT} ")
+DOT_FORMS = (" [dot] ", "[dot]", "(dot)", " dot ", "&#46;", "_dot_", ".", " . ", "[.]", " DOT ")
+
+
+def brute_disguised(text):
+    """Every choice of begin, signs and end is tried: the first "at" that makes an address takes the longest one around it."""
+    at = "|".join(map(re.escape, sorted(AT_FORMS, key=len, reverse=True)))
+    dot = "|".join(map(re.escape, sorted(DOT_FORMS, key=len, reverse=True)))
+    local, label = "[A-Za-z0-9_%+-]+", "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+    m = re.search(rf"(?<![A-Za-z0-9._%+-])({local}(?:(?:{dot}){local})*)({at})({label}(?:(?:{dot}){label})+)", text, re.I)
+    return m and (m.start(), m.end(), m[1], m[2], m[3])
+
+
+def test_disguised_addresses_against_brute_force():
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcxyz019") for _ in range(r.choice((1, 2, 5, 40, 300))))
+    for _ in range(3000):
+        local = word() + "".join(r.choice(DOT_FORMS) + word() for _ in range(r.choice((0, 0, 1, 2, 7, 30))))
+        domain = word() + "".join(r.choice(DOT_FORMS) + word() for _ in range(r.choice((0, 1, 1, 2, 6)))) + r.choice((".com", " dot com", "[dot]org", "&#46;net", ""))
+        sign = r.choice(AT_FORMS)
+        address = local + sign + domain
+        text = f"<< {address} >>" if r.random() < 0.5 else f"{address}\n{word()}"
+        got = [(a, b) for a, k, b, p in pii.find_spans(text) if k == 0 and not p]
+        want = brute_disguised(text)
+        if want is None:
+            assert not got, text
+            continue
+        a, b, _, own, after = want
+        strong = own.strip() == "@" or own.strip(" ").lower() not in ("at",)
+        disguised_after = re.search(r"dot|&#46;|\[\.\]| \. ", after, re.I)
+        ending = after.rsplit(".", 1)[-1].lower() in pii.ENDINGS and not re.search(r"(dot|\]|;)\W*$", after[: after.rfind(".") + 1], re.I)
+        plain_only = re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", text[a:b]) is not None
+        if not plain_only and (strong or disguised_after or ending):
+            assert got == [(a, b)], (text, text[a:b], [text[x:y] for x, y in got])
+        else:
+            assert not got, text
+
+
+def test_long_disguised_addresses():
+    local = "x" * 5000
+    parts = " [dot] ".join(f"p{i}" for i in range(51))
+    for address in (f"{local} [at] example [dot] com", f"{parts} [at] example [dot] com", f"{local} at {' dot '.join(f'd{i}' for i in range(400))}"):
+        assert [(a, b) for a, _, b, _ in pii.find_spans(f"write {address}\n.")] == [(6, 6 + len(address))]
+
+
+@pytest.mark.parametrize("unit", ["a [dot] b [at] example [dot] com, tel plus one two one two five five five zero one nine nine; ", "-at-", "_at_x", "x at ", " . ", "[at] ", "a.b", "one, ", "      [", "&#64;a ", "1 dot "])
+def test_long_texts_take_linear_time(unit):
+    import time
+
+    took = []
+    for size in (250_000, 1_000_000):
+        text = unit * (size // len(unit))
+        t = time.perf_counter()
+        pii.find_spans(text)
+        took.append(time.perf_counter() - t)
+    assert took[1] < 4 * 2.5 * took[0] + 0.5, took
+
+
+def test_ten_million_characters_of_disguises():
+    line = "name.{} [at] example [dot] com\n"
+    text = "".join(line.format(i) for i in range(10_000_000 // len(line)))
+    found = pii.find_spans(text)
+    assert len(found) == text.count("\n") and text[found[-1][0] : found[-1][2]] == text.rsplit("\n", 2)[1]
+
+
 def test_half_disguised_address_keeps_its_plain_span():
     text = "jоhn@example.com now"
     assert [(text[a:b], p) for a, _, b, p in pii.find_spans(text)] == [("jоhn@example.com", False), ("hn@example.com", True)]

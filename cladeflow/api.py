@@ -103,7 +103,8 @@ def pairwise_kf_from_newicks(names: list[str], newicks: list[str], translate_map
 
 def pairwise_rf_from_newick_iter(names: list[str], newick_iterator: Iterable[str], translate_maps: list[dict[str, str]], map_indices: list[int], rooted: bool = False) -> tuple[list[str], bytes]:
     """As pairwise_rf_from_newicks, drawing trees one by one; the matrix as row-major 32-bit unsigned integers."""
-    pairs = compare(_parsed(newick_iter(session(), names, newick_iterator, translate_maps, map_indices)), "rf", rooted, True)
+    trees = written(newick_iter(session(), names, newick_iterator, translate_maps, map_indices), "trees")
+    pairs = compare(trees, "rf", rooted, True)
     return list(names), matrix_bytes(pairs, len(names))
 
 

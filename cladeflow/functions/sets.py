@@ -18,18 +18,41 @@ def canonical_side(split: Column, n: Column) -> Column:
     return F.when(F.array_contains(split, 0), complement(split, n)).otherwise(split)
 
 
-def is_trivial(split: Column, n: Column) -> Column:
-    """Whether a split sets at most one leaf apart."""
-    return (F.size(split) <= 1) | (F.size(split) >= n - 1)
+def set_union(a: Column, b: Column) -> Column:
+    """The sorted ranks in either."""
+    return F.array_sort(F.array_union(a, b))
 
 
-def root_free(level: Column, split: Column) -> Column:
-    """Whether a clade counts at all: not the root, more than one leaf."""
-    return (level > 1) & (F.size(split) > 1)
+def packed(split: Column, n: Column) -> Column:
+    """A split as bits: ceil(n / 64) words of 64 bits as big-endian bytes, rank r being bit r % 64 of word r / 64.
 
+    A leaf costs one bit instead of an integer, and bytes compare as the sets do: word by word, unsigned.
+    """
+    words = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 64).cast("int"), F.lit(1)) - 1), lambda w: _word(split, w))
+    return F.unhex(F.array_join(F.transform(words, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
-def set_union(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+
+def _word(split: Column, w: Column) -> Column:
+    own = F.filter(split, lambda r: F.floor(r / 64) == w)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda acc, r: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (r % 64).cast("int"))))
+
+
+def _words(bits: Column) -> Column:
+    """The words of packed bits as longs; the upper half of a word is read apart, as a word may exceed a signed long."""
+    count = F.octet_length(bits) / 8
+    half = lambda at: F.conv(F.hex(F.substring(bits, at, F.lit(4))), 16, 10).cast("long")
+    return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda w: F.call_function("shiftleft", half(w * 8 + 1), F.lit(32)).bitwiseOR(half(w * 8 + 5)))
+
+
+def count_ones(bits: Column) -> Column:
+    """The size of a packed set."""
+    return F.aggregate(F.transform(_words(bits), F.bit_count), F.lit(0), lambda a, x: a + x)
+
+
+def packed_union(a: Column, b: Column) -> Column:
+    """The union of two packed sets of one length."""
+    both = F.zip_with(_words(a), _words(b), lambda x, y: x.bitwiseOR(y))
+    return F.unhex(F.array_join(F.transform(both, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 class Bitset:

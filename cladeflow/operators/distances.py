@@ -23,7 +23,7 @@ CELLS = 4 << 20
 RESULT = "i long, j long, dist double"
 
 
-def pairwise(splits: DataFrame, trees: DataFrame, metric: str = "rf", method: str = "join", block: int = BLOCK) -> DataFrame:
+def pairwise(splits: DataFrame, trees: DataFrame, metric: str = "rf", method: str = "block", block: int = BLOCK) -> DataFrame:
     """(i, j, dist) for i < j over the tree_ids of `trees`; dist is a long for rf, else a double.
 
     rf: splits that only one of the two has (copies counted). weighted: sum of |a - b| over shared splits plus

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.functions.sets import canonical_side, complement
+from cladeflow.functions.sets import canonical_side
 from cladeflow.operators.newick import clades
 
 
@@ -43,9 +43,9 @@ def root_children(trees: DataFrame, use_map: bool = False) -> DataFrame:
     return c.groupBy("tree_id").agg(F.sort_array(F.collect_list("clade")).alias("children"))
 
 
-def rest_of(splits: DataFrame) -> DataFrame:
-    """Every split with the ranks on its other side."""
-    return splits.withColumn("other", complement(F.col("split"), F.col("n")))
+def first_trees(trees: DataFrame, k: int) -> DataFrame:
+    """The k trees with the least tree_id: for measurements on a part of a large collection, not for results."""
+    return trees.orderBy("tree_id").limit(k)
 
 
 def rename_leaf_nodes(leaves: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +10,9 @@ from cladeflow.operators import full_matrix, pairwise, parse, root_children, sna
 from cladeflow.operators.checks import leaf_sets
 from cladeflow.operators.newick import clades
 from cladeflow.plans import families
+from cladeflow.plans.registry import ORACLES, QUERIES, register, text_of
 from cladeflow.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name], ORACLES[name] = f, oracle
-        return f
-
-    return add
-
-
-def text_of(array: str):
-    return F.concat_ws(",", F.col(array).cast("array<string>"))
-
-
 def distances(spark: SparkSession, sf_dir: str, family: str, metric: str, rooted: bool = False, grain: str = "year", method: str = "block") -> DataFrame:
     t = families.trees(spark, sf_dir, family, grain)
     d = pairwise(to_splits(t, rooted), t, metric, method)
@@ -206,3 +189,6 @@ for _name, _trees, _states, _where in (("burnin_none", 0, 0, "true"), ("burnin_t
     QUERIES[_name] = lambda s, d, a=(_trees, _states): _burn(s, d, *a)
     ORACLES[_name] = f"""SELECT file, o_orderkey, idx::INTEGER AS idx FROM (SELECT year(o_orderdate)::INTEGER AS file, o_orderkey,
   row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) - 1 AS idx FROM orders) WHERE {_where}"""
+
+
+from cladeflow.plans import file_catalogue  # noqa: E402, F401  (adds its queries to the same tables)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions.text import strip_annotations
+from cladeflow.operators.checks import difference, first_fault, leaf_sets
 from cladeflow.session import scratch
 
 SCHEMA = "tree_id long, name string, newick string, map_idx int"
@@ -39,13 +40,26 @@ def newick_list(spark: SparkSession, names: list[str], newicks: list[str], trans
 
 
 def newick_iter(spark: SparkSession, names: list[str], newicks: Iterable[str], translate_maps: list[dict[str, str]], map_indices: list[int], portion: int = 1000) -> DataFrame:
-    """newick_list from an iterator: `portion` trees at a time are appended to a table in the shared folder."""
+    """newick_list from an iterator: `portion` trees at a time are checked and appended to a table in the shared folder.
+
+    Faults come up in the order of the trees: what is wrong with a tree (its text, then its leaf set) before that
+    there are more trees than names, and that before there are fewer.
+    """
     if len(names) != len(map_indices):
         raise ValueError(f"names length ({len(names)}) must equal map_indices length ({len(map_indices)})")
     check_indices(map_indices, len(translate_maps))
-    path, it, done = scratch(spark, "newicks"), iter(newicks), 0
-    for rows in _portions(it, names, map_indices, portion):
-        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(path)
+    path, done, want = scratch(spark, "newicks"), 0, None
+    for rows in _portions(iter(newicks), names, map_indices, portion):
+        trees = with_maps(spark.createDataFrame(rows, SCHEMA), translate_maps)
+        if want is None:
+            first = trees.where(F.col("tree_id") == 0)
+            if first_fault(first, True):
+                raise ValueError("Failed to parse newick at index 0")
+            want = leaf_sets(first, True).first()["names"]
+        if fault := first_fault(trees, True, want):
+            i, parses, found = fault
+            raise difference(i, found, want) if parses else ValueError(f"Failed to parse newick at index {i}")
+        trees.select("tree_id", "name", "newick", "map_idx").write.mode("append").parquet(path)
         done += len(rows)
     if done < len(names):
         raise ValueError(f"newick_iter yielded {done} trees but names has {len(names)}")
@@ -55,12 +69,12 @@ def newick_iter(spark: SparkSession, names: list[str], newicks: Iterable[str], t
 
 def _portions(it: Iterator[str], names: list[str], map_indices: list[int], portion: int) -> Iterator[list[tuple]]:
     rows: list[tuple] = []
-    i = 0
-    for newick in it:
+    for i, newick in enumerate(it):
         if i >= len(names):
+            if rows:
+                yield rows
             raise ValueError(f"newick_iter yielded more than {len(names)} trees")
         rows.append((i, names[i], newick, map_indices[i]))
-        i += 1
         if len(rows) == portion:
             yield rows
             rows = []

@@ -6,6 +6,8 @@ filters, windows and expressions on those lines.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,23 @@ from cladeflow.operators.newick import parse
 
 
 def file_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_idx, path, ln, line) of all files, in the order given."""
-    out = None
-    for i, p in enumerate(paths):
-        whole = spark.read.text(p, wholetext=True).select(F.lit(i).alias("file_idx"), F.lit(p).alias("path"), F.posexplode(F.split("value", "\r?\n", -1)).alias("ln", "line"))
-        out = whole if out is None else out.unionByName(whole)
-    return out if out is not None else spark.createDataFrame([], "file_idx int, path string, ln int, line string")
+    """(file_idx, path, ln, line) of all files, in the order given; one scan reads them all, however many.
+
+    The list of paths is a small table that meets the files by their full names; a path given twice counts twice.
+    """
+    if not paths:
+        return spark.createDataFrame([], "file_idx int, path string, ln int, line string")
+    order = spark.createDataFrame([(i, p, _full_name(spark, p)) for i, p in enumerate(paths)], "file_idx int, path string, key string")
+    key = F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/")
+    whole = spark.read.text(sorted(set(paths)), wholetext=True).select(key.alias("key"), "value")
+    return whole.join(F.broadcast(order), "key").select("file_idx", "path", F.posexplode(F.split("value", "\r?\n", -1)).alias("ln", "line"))
+
+
+def _full_name(spark: SparkSession, path: str) -> str:
+    """The name by which Spark knows a file, with one slash after the scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()
+    return re.sub("^([^:/]+):/+", r"\1:/", full)
 
 
 def tree_lines(lines: DataFrame) -> DataFrame:

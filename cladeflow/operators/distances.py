@@ -1,23 +1,25 @@
 """Robinson-Foulds, weighted Robinson-Foulds and Kuhner-Felsenstein distances of all pairs of trees.
 
-Two plans, same results. "join": an equi-join of the splits with themselves finds what two trees share, and the
-totals of each tree give the rest, so pairs that share nothing cost nothing in the join; Catalyst plans it all.
-"block": trees are packed to arrays, cut into blocks of bounded size, and each pair of blocks is compared
-in one task with array kernels; the shuffle is trees times blocks, and no task holds more than two blocks. The
-block plan is the one for many trees.
+Two plans, same results. "block", the default: trees are packed to arrays, cut into blocks of bounded size, and each
+pair of blocks is compared in one task with array kernels; the shuffle is trees times blocks, and no task holds more
+than two blocks. "join": an equi-join of the splits with themselves finds what two trees share, and the totals of
+each tree give the rest, so pairs that share nothing cost nothing in the join; Catalyst plans it all. A split
+that all trees have meets itself once for each pair of blocks of trees, so that no task joins more than one block with
+another.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.session import ship
 
 METRICS = ("rf", "weighted", "kf")
-BLOCK = 256
+BLOCK = 512
 #: Cells of the matrices that a task lays out at once (two of them, 8 bytes each).
 CELLS = 4 << 20
 RESULT = "i long, j long, dist double"
@@ -35,67 +37,69 @@ def pairwise(splits: DataFrame, trees: DataFrame, metric: str = "rf", method: st
     return out.withColumn("dist", F.col("dist").cast("long")) if metric == "rf" else out
 
 
+def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows once for each block that theirs meets: `blk` of tree_id, and the pair of blocks lo <= hi."""
+    own = F.pmod(F.xxhash64("tree_id"), F.lit(blocks)).cast("int")
+    out = rows.withColumns({"blk": own, "other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    return out.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).drop("other")
+
+
 def pair_scaffold(ids: DataFrame, block: int = 1024) -> DataFrame:
     """(i, j) of all i < j, by an equi-join of blocks of ids: no cross join and no broadcast of all ids."""
-    blocks = max(1, -(-ids.count() // block))
-    a = ids.select("tree_id", F.pmod(F.xxhash64("tree_id"), F.lit(blocks)).cast("int").alias("blk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    a = a.select("tree_id", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    a = in_blocks(ids.select("tree_id"), max(1, -(-ids.count() // block)))
     left = a.where("blk = lo").select("lo", "hi", F.col("tree_id").alias("u"))
     right = a.where("blk = hi").select("lo", "hi", F.col("tree_id").alias("v"))
     both = left.join(right, ["lo", "hi"]).where("u <> v and (lo <> hi or u < v)")
     return both.select(F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"))
 
 
-def _by_join(splits: DataFrame, trees: DataFrame, metric: str) -> DataFrame:
+def _by_join(splits: DataFrame, trees: DataFrame, metric: str, block: int = 1024) -> DataFrame:
     ids = trees.select("tree_id")
-    if metric == "kf":
-        return _kf_by_join(splits, ids)
-    own = F.lit(1.0) if metric == "rf" else F.col("length")
-    totals = ids.join(splits.groupBy("tree_id").agg(F.sum(own).alias("total")), "tree_id", "left").select("tree_id", F.coalesce("total", F.lit(0.0)).alias("total"))
-    a = splits.select(F.col("tree_id").alias("i"), "split", "copy", F.col("length").alias("la"))
-    b = splits.select(F.col("tree_id").alias("j"), "split", "copy", F.col("length").alias("lb"))
-    # What a shared split changes against the sum of both totals.
-    change = F.lit(-2.0) if metric == "rf" else F.abs(F.col("la") - F.col("lb")) - (F.col("la") + F.col("lb"))
-    shared = a.join(b, ["split", "copy"]).where("i < j").groupBy("i", "j").agg(F.sum(change).alias("change"))
-    pairs = pair_scaffold(ids).join(totals.select(F.col("tree_id").alias("i"), F.col("total").alias("ti")), "i").join(totals.select(F.col("tree_id").alias("j"), F.col("total").alias("tj")), "j")
-    return pairs.join(shared, ["i", "j"], "left").select("i", "j", (F.col("ti") + F.col("tj") + F.coalesce("change", F.lit(0.0))).alias("dist"))
-
-
-def _kf_by_join(splits: DataFrame, ids: DataFrame) -> DataFrame:
-    """Squares are summed split by split: from totals they would cancel badly for trees that nearly agree."""
-    s = splits.select("tree_id", "split", "copy", "length")
+    x = F.col("length")
+    own = {"rf": F.lit(1.0), "weighted": x, "kf": x * x}[metric]
+    totals = ids.join(splits.groupBy("tree_id").agg(F.sum(own).alias("total"), F.count(F.lit(1)).alias("n")), "tree_id", "left")
+    totals = totals.select("tree_id", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
+    cut = in_blocks(splits.select("tree_id", "split", "copy", "length"), max(1, -(-ids.count() // block)))
+    a = cut.where("blk = lo").select("split", "copy", "lo", "hi", F.col("tree_id").alias("u"), F.col("length").alias("lu"))
+    b = cut.where("blk = hi").select("split", "copy", "lo", "hi", F.col("tree_id").alias("v"), F.col("length").alias("lv"))
+    lu, lv = F.col("lu"), F.col("lv")
+    # What a shared split counts, and what of either total it stands for.
+    both = {"rf": F.lit(0.0), "weighted": F.abs(lu - lv), "kf": (lu - lv) * (lu - lv)}[metric]
+    of = lambda c: {"rf": F.lit(1.0), "weighted": c, "kf": c * c}[metric]
+    shared = a.join(b, ["split", "copy", "lo", "hi"]).where("u <> v and (lo <> hi or u < v)")
+    first = F.col("u") < F.col("v")
+    shared = shared.select(F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), both.alias("both"), F.when(first, of(lu)).otherwise(of(lv)).alias("si"), F.when(first, of(lv)).otherwise(of(lu)).alias("sj"))
+    shared = shared.groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("si").alias("si"), F.sum("sj").alias("sj"), F.count(F.lit(1)).alias("k"))
     pairs = pair_scaffold(ids)
-    left = pairs.join(s.withColumnRenamed("tree_id", "i"), "i").select("i", "j", "split", "copy", F.col("length").alias("d"))
-    right = pairs.join(s.withColumnRenamed("tree_id", "j"), "j").select("i", "j", "split", "copy", (-F.col("length")).alias("d"))
-    d = left.union(right).groupBy("i", "j", "split", "copy").agg(F.sum("d").alias("d"))
-    total = d.groupBy("i", "j").agg(F.sum(F.col("d") * F.col("d")).alias("s"))
-    return pairs.join(total, ["i", "j"], "left").select("i", "j", F.sqrt(F.coalesce("s", F.lit(0.0))).alias("dist"))
+    for c in ("i", "j"):
+        pairs = pairs.join(totals.select(F.col("tree_id").alias(c), F.col("total").alias(f"t{c}"), F.col("n").alias(f"n{c}")), c)
+    # Where all splits of a tree are shared, nothing is left of its total, whatever the rounding of the sums.
+    left = lambda c: F.when(F.col("k") == F.col(f"n{c}"), 0.0).otherwise(F.col(f"t{c}") - F.coalesce(f"s{c}", F.lit(0.0)))
+    rest = lambda c: F.greatest(left(c), F.lit(0.0)) if metric == "kf" else left(c)
+    dist = F.coalesce("both", F.lit(0.0)) + rest("i") + rest("j")
+    return pairs.join(shared, ["i", "j"], "left").select("i", "j", (F.sqrt(dist) if metric == "kf" else dist).alias("dist"))
 
 
 def _by_blocks(splits: DataFrame, trees: DataFrame, metric: str, block: int) -> DataFrame:
     spark = trees.sparkSession
     ship(spark)
-    # The 128-bit digest of a split stands for it; digests of one block pair become columns of a dense matrix.
-    key = F.md5(F.concat_ws(",", F.col("split").cast("array<string>"), F.concat(F.lit("#"), F.col("copy").cast("string"))))
-    packed = splits.groupBy("tree_id").agg(F.collect_list(F.struct(F.unhex(key).alias("k"), "length")).alias("p"))
-    rows = trees.select("tree_id").join(packed, "tree_id", "left").select("tree_id", F.transform("p", lambda x: x["k"]).alias("k"), F.transform("p", lambda x: x["length"]).alias("l"))
-    total = trees.count()
-    blocks = max(1, -(-total // block))
-    dealt = rows.withColumn("blk", F.pmod(F.xxhash64("tree_id"), F.lit(blocks)).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "tree_id", "k", "l")
+    # Two 64-bit hashes of a split stand for it; those of one block pair become columns of a dense matrix.
+    k1, k2 = F.xxhash64("split", "copy"), F.xxhash64(F.lit("second"), "copy", "split")
+    packed = splits.groupBy("tree_id").agg(F.collect_list(F.struct(k1.alias("k1"), k2.alias("k2"), "length")).alias("p"))
+    rows = trees.select("tree_id").join(packed, "tree_id", "left").select("tree_id", "p.k1", "p.k2", F.col("p.length").alias("l"))
+    dealt = in_blocks(rows, max(1, -(-trees.count() // block)))
 
     def compare(t: pa.Table) -> pa.Table:
-        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         ids, blk = t.column("tree_id").to_numpy(), t.column("blk").to_numpy()
-        keys, owner, lengths = _flat(t)
-        a, b = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-        d = _block_distances(len(ids), _numbered(keys), owner, lengths, a, b, metric)
-        r, c = np.nonzero(ids[a][:, None] < ids[b][None, :] if bi == bj else np.ones((len(a), len(b)), bool))
+        first, second, owner, lengths = _flat(t)
+        a, b = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        d = _block_distances(len(ids), _numbered(first, second), owner, lengths, a, b, metric)
+        r, c = np.nonzero(ids[a][:, None] < ids[b][None, :] if lo == hi else np.ones((len(a), len(b)), bool))
         u, v = ids[a][r], ids[b][c]
         return pa.table({"i": pa.array(np.minimum(u, v), pa.int64()), "j": pa.array(np.maximum(u, v), pa.int64()), "dist": pa.array(d[r, c], pa.float64())})
 
-    return dealt.groupBy("bi", "bj").applyInArrow(compare, RESULT)
+    return dealt.groupBy("lo", "hi").applyInArrow(compare, RESULT)
 
 
 def _block_distances(n: int, col: np.ndarray, owner: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -115,41 +119,55 @@ def _block_distances(n: int, col: np.ndarray, owner: np.ndarray, lengths: np.nda
     at, who, x = place[col[~alone]], owner[~alone], lengths[~alone]
     order = np.argsort(at, kind="stable")
     at, who, x = at[order], who[order], x[order]
-    step = max(1, CELLS // max(1, n))
+    step, signed = max(1, CELLS // max(1, n)), bool((lengths < 0).any())
     for lo in range(0, len(shared), step):
         i, j = np.searchsorted(at, (lo, lo + step))
         width = min(step, len(shared) - lo)
-        cells, has = np.zeros((n, width)), np.zeros((n, width))
-        cells[who[i:j], at[i:j] - lo], has[who[i:j], at[i:j] - lo] = x[i:j], 1.0
+        col, own, value = at[i:j] - lo, who[i:j], x[i:j]
+        has = np.zeros((n, width), np.float32 if metric == "rf" else float)
+        has[own, col] = 1.0
         if metric == "rf":
             count = has.sum(axis=1)
             d += count[a][:, None] + count[b][None, :] - 2 * (has[a] @ has[b].T)
             continue
-        xb, hb = cells[b], has[b]
+        cells = np.zeros((n, width))
+        cells[own, col] = value
+        # What the second tree has and the first lacks: sums of its own lengths, without any difference.
+        d += (1 - has[a]) @ (cells[b] * cells[b] if metric == "kf" else cells[b]).T
+        columns = np.ascontiguousarray(cells[b].T)  # a row a split: those of the first tree are taken out whole
+        marks = np.ascontiguousarray(has[b].T) if signed and metric == "weighted" else None
         for r, row in enumerate(a):
-            diff = xb - cells[row]
+            mine = np.flatnonzero(has[row])
+            value = cells[row, mine][:, None]
+            diff = columns[mine]
+            diff -= value
             if metric == "kf":
-                d[r] += (diff * diff).sum(axis=1)
-            else:  # a length that the other tree lacks counts as it is, not as its amount
-                d[r] += np.where(hb * has[row] > 0, np.abs(diff), xb + cells[row]).sum(axis=1)
+                diff *= diff
+            else:
+                np.abs(diff, out=diff)
+                if marks is not None:  # a length that the other tree lacks counts as it is, not as its amount
+                    diff = np.where(marks[mine] > 0, diff, value)
+            d[r] += diff.sum(axis=0)
     return np.sqrt(d) if metric == "kf" else d
 
 
-def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of all splits of a table of trees as pairs of longs, the row each belongs to, and their lengths."""
-    k, v = t.column("k").combine_chunks(), t.column("l").combine_chunks()
-    counts = np.array([len(x) if x.is_valid else 0 for x in k], np.int64)
-    keys = np.frombuffer(b"".join(k.flatten().to_pylist()), np.int64).reshape(-1, 2)
-    return keys, np.repeat(np.arange(len(counts)), counts), v.flatten().to_numpy(zero_copy_only=False)
+def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of all splits of a table of trees, the row each belongs to, and their lengths."""
+    lists = [t.column(c).combine_chunks() for c in ("k1", "k2", "l")]
+    counts = pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False)
+    first, second, lengths = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+    return first, second, np.repeat(np.arange(len(counts)), counts), lengths
 
 
-def _numbered(keys: np.ndarray) -> np.ndarray:
-    """Equal digests get equal numbers, from 0 without gaps."""
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    new = np.ones(len(keys), np.int64)
-    new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(new) - 1
+def _numbered(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Equal pairs of hashes get equal numbers, from 0 without gaps."""
+    order = np.argsort(first, kind="stable")
+    same = first[order][1:] == first[order][:-1]
+    if (same & (second[order][1:] != second[order][:-1])).any():
+        order = np.lexsort((second, first))
+        same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+    out = np.empty(len(first), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ~same])) if len(first) else 0
     return out
 
 

@@ -8,6 +8,7 @@ import pytest
 from cladeflow import api
 from cladeflow.functions.sets import Bitset
 from cladeflow.functions.text import strip_beast_annotations
+from cladeflow.operators import distances
 from cladeflow.operators import clades, pairwise, parse, root_children, snapshots, to_splits
 
 # Twelve published trees of ten taxa (every edge but the root's is 0.1) and their unrooted distances.
@@ -292,3 +293,28 @@ def test_snapshots_as_values(spark):
 def test_copies_have_no_distance(spark, metric):
     for method in ("join", "block"):
         assert set(dist(spark, [NEWICKS[0]] * 4, metric, method=method).values()) == {0}
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 64])
+@pytest.mark.parametrize("signed", [False, True])
+def test_block_kernel_in_pieces(monkeypatch, cells, signed):
+    """All splits laid out at once, and a few at a time, with negative lengths and without."""
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(distances, "CELLS", cells)
+    sets = [{int(k): float(r.integers(-3 if signed else 0, 9)) / 4 for k in r.choice(60, r.integers(0, 25), replace=False)} for _ in range(24)]
+    col = np.array([k for s in sets for k in s], np.int64)
+    owner = np.repeat(np.arange(24), [len(s) for s in sets])
+    lengths = np.array([x for s in sets for x in s.values()])
+    a, b = np.arange(10), np.arange(8, 24)
+    for metric in ("rf", "weighted", "kf"):
+        got = distances._block_distances(24, col, owner, lengths, a, b, metric)
+        for i, u in enumerate(a):
+            for j, v in enumerate(b):
+                x, y = sets[u], sets[v]
+                both = x.keys() | y.keys()
+                want = {
+                    "rf": len(x.keys() ^ y.keys()),
+                    "weighted": sum(abs(x[k] - y[k]) if k in x and k in y else x.get(k, 0) + y.get(k, 0) for k in both),
+                    "kf": sum((x.get(k, 0) - y.get(k, 0)) ** 2 for k in both) ** 0.5,
+                }[metric]
+                assert got[i, j] == pytest.approx(want, abs=1e-12)

@@ -3,13 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from cladeflow import api
 from cladeflow.functions.sets import Bitset
 from cladeflow.functions.text import strip_beast_annotations
-from cladeflow.operators import distances
-from cladeflow.operators import clades, pairwise, parse, root_children, snapshots, to_splits
+from cladeflow.operators import clades, distances, pairwise, parse, root_children, snapshots, to_splits
 
 # Twelve published trees of ten taxa (every edge but the root's is 0.1) and their unrooted distances.
 TOPOLOGIES = """

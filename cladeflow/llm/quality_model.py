@@ -5,8 +5,15 @@ and word windows), each cut into bins at quantiles of the unlabelled sample. The
 each bin. Its risk is the unbiased estimate from positives and unlabelled rows: with class prior p and the
 logistic loss, p * risk(positives as 1) + max(0, risk(unlabelled as 0) - p * risk(positives as 0)); where
 the bracket turns negative, steps go the other way until it is not (so the model cannot win by driving the
-negative risk below zero). The class prior is the share of positives among the labelled rows that may be
-learned from; where all of those are positive it is `default_prior`.
+negative risk below zero).
+
+The class prior is estimated from the positives and the unlabelled rows alone; labels of 0 are never looked at, so
+it does not matter which share of either class was labelled. A model that tells positives from unlabelled
+rows is fitted on one half of both and scores the other. Above a threshold stand q_p of the positives and q_u of the
+unlabelled rows; positives among these stand there alike, so q_u / q_p is the prior or more at every threshold, and comes close
+to it where only positives score so high. The ratio is taken where it is least once the chance errors of both tails
+are added; the halves change places and the two estimates are averaged. `PUModel.prior` reports it. It assumes that
+positives were labelled whatever their text; without positives it is `default_prior`.
 
 Fitting uses at most about `most_positive` positives and `most_unlabelled` documents (the vectors of
 measures go to the driver, not the texts). Scoring is by the logistic function, an estimate of the
@@ -73,11 +80,32 @@ def _ends(word: bytes) -> bool:
     return word[-1] in b".,;:!?"
 
 
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray, sure: float = 0.1, **options) -> float:
+    """The share of positives among the unlabelled rows, by the least ratio of the tails of their scores (chance of a tail's error: `sure`)."""
+    found = []
+    for part in (0, 1):
+        own, other = (lambda x: x[part::2]), (lambda x: x[1 - part :: 2])
+        p, u = other(positives), other(unlabelled)
+        if not len(own(positives)) or not len(own(unlabelled)) or not len(p) or not len(u):
+            continue
+        model = PUModel(own(positives), own(unlabelled), 0.5, against_unlabelled=True, **options)
+        p, u = np.sort(model.score(p)), np.sort(model.score(u))
+        at = np.unique(p)
+        q_p, q_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+        error = math.sqrt(math.log(4 / sure) / 2) * (1 / math.sqrt(len(p)) + 1 / math.sqrt(len(u)))
+        best = ((q_u + error) / q_p).argmin()
+        found.append(q_u[best] / q_p[best])
+    return min(0.99, max(0.01, sum(found) / len(found))) if found else 0.5
+
+
 class PUModel:
-    """Bins, weights and bias; `prior` is the class prior used."""
+    """Bins, weights and bias; `prior` is the class prior used.
+
+    against_unlabelled: no PU risk but the plain one that tells positives from unlabelled rows, each class counting alike.
+    """
 
-    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> None:
-        self.prior = prior
+    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, against_unlabelled: bool = False) -> None:
+        self.prior, self.plain = prior, against_unlabelled
         d = len(FEATURES)
         self.edges = [self._edges(unlabelled[:, j], bins) for j in range(d)]
         self.starts = np.cumsum([0, *(len(e) + 1 for e in self.edges)])
@@ -102,23 +130,29 @@ class PUModel:
     def _slots(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="right") + self.starts[j] for j, e in enumerate(self.edges)], axis=1)
 
-    def _fit(self, pos: np.ndarray, unl: np.ndarray, steps: int, rate: float, decay: float) -> None:
+    def risk(self, pos: np.ndarray, unl: np.ndarray) -> tuple[float, np.ndarray]:
+        """The risk of slots of both kinds, and the step to take against it (weights, then the bias): its gradient, or,
+        where the estimated risk on negatives is below zero, what raises that again."""
         size, prior = len(self.weights), self.prior
-        mean, spread = np.zeros(size + 1), np.zeros(size + 1)
+        fp, fu = (self.weights[s].sum(axis=1) + self.bias for s in (pos, unl))
+        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
 
         def gradient(slots: np.ndarray, of_score: np.ndarray) -> np.ndarray:
             g = np.bincount(slots.ravel(), np.repeat(of_score, slots.shape[1]), size)
             return np.append(g, of_score.sum())
 
+        positive = prior * np.logaddexp(0, -fp).mean()
+        of_positive = gradient(pos, -prior * (1 - sp) / len(pos))
+        if self.plain:
+            return positive + (1 - prior) * np.logaddexp(0, fu).mean(), of_positive + gradient(unl, (1 - prior) * su / len(unl))
+        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        of_negative = gradient(unl, su / len(unl)) - gradient(pos, prior * sp / len(pos))
+        return positive + max(0.0, negative), of_positive + of_negative if negative >= 0 else -of_negative
+
+    def _fit(self, pos: np.ndarray, unl: np.ndarray, steps: int, rate: float, decay: float) -> None:
+        mean, spread = np.zeros(len(self.weights) + 1), np.zeros(len(self.weights) + 1)
         for step in range(1, steps + 1):
-            fp, fu = (self.weights[s].sum(axis=1) + self.bias for s in (pos, unl))
-            sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-            negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            of_negative = gradient(unl, su / len(unl)) - gradient(pos, prior * sp / len(pos))
-            if negative >= 0:
-                g = gradient(pos, -prior * (1 - sp) / len(pos)) + of_negative
-            else:
-                g = -of_negative
+            _, g = self.risk(pos, unl)
             g[:-1] += decay * self.weights
             mean = 0.9 * mean + 0.1 * g
             spread = 0.999 * spread + 0.001 * g * g
@@ -146,17 +180,16 @@ def _measured(rows: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_positive: int = 6000, most_unlabelled: int = 12000, default_prior: float = 0.8, **options) -> PUModel:
     """The model from labelled and unlabelled rows that may be learned from."""
     ship(docs.sparkSession)
-    known = labels.where(may_learn(id_col)).select(F.col(id_col).alias("_i"), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1))
-    n = known.agg(F.sum((F.col("_y") == 1).cast("long")), F.count(F.lit(1))).first()
-    good, total = int(n[0] or 0), int(n[1] or 0)
-    prior = min(0.99, max(0.01, good / total)) if 0 < good < total else default_prior
+    known = labels.where(may_learn(id_col) & (F.col(label_col) == 1)).select(F.col(id_col).alias("_i")).distinct()
+    good = known.count()
     rows = docs.where(may_learn(id_col)).select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t"))
     u = F.pmod(F.xxhash64(F.lit("quality"), F.col("_i")), F.lit(1 << 30)) / float(1 << 30)
-    trusted = known.where((F.col("_y") == 1) & (u < min(1.0, most_positive / max(1, good)))).select("_i").distinct()
+    trusted = known.where(u < min(1.0, most_positive / max(1, good)))
     all_docs = rows.count()
     unlabelled = rows.where(F.pmod(F.xxhash64(F.lit("unlabelled"), F.col("_i")), F.lit(1 << 30)) / float(1 << 30) < min(1.0, most_unlabelled / max(1, all_docs)))
     pos = _measured(rows.join(trusted, "_i", "left_semi").select("_t")) if good else np.zeros((0, len(FEATURES)))
-    return PUModel(pos, _measured(unlabelled.select("_t")), prior, **options)
+    unl = _measured(unlabelled.select("_t"))
+    return PUModel(pos, unl, estimated_prior(pos, unl, **options) if len(pos) and len(unl) else default_prior, **options)
 
 
 def classify(docs: DataFrame, model: PUModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

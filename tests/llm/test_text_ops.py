@@ -308,6 +308,62 @@ def test_quality_odd_frames(spark):
     assert quality_model.classify(df.limit(0), quality_model.train(df.limit(0), labels.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_of_planted_mixtures(prior):
+    """Whatever share of either class was labelled, the prior comes from positives and unlabelled rows."""
+    r = np.random.default_rng(2)
+    d = len(quality_model.FEATURES)
+    draw = lambda good, n: r.normal(1 if good else -0.4, 1, (n, d))
+    unl = np.concatenate([draw(True, int(4000 * prior)), draw(False, int(4000 * (1 - prior)))])
+    r.shuffle(unl)
+    for labelled in (300, 3000):
+        assert quality_model.estimated_prior(draw(True, labelled), unl) == pytest.approx(prior, abs=0.05)
+
+
+def test_prior_does_not_look_at_labels_of_0(spark):
+    r = random.Random(9)
+    good = lambda: " ".join(r.choice(("alpha", "beta", "gamma", "delta")) + str(r.randrange(500)) for _ in range(60)) + "."
+    bad = lambda: "BUY $$$ NOW!!! " * r.randint(3, 9)
+    truth = [i % 10 < 6 for i in range(1500)]
+    docs = spark.createDataFrame([(i, good() if t else bad(), None, None, 0) for i, t in enumerate(truth)], DOCS)
+    # Labels of the good are a quarter, those of the bad are many or none: 0.6 holds all the same.
+    for every in (1, 10**6):
+        rows = [(i, int(t)) for i, t in enumerate(truth) if (t and i % 4 == 0) or (not t and i % every == 0)]
+        model = quality_model.train(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
+        assert model.prior == pytest.approx(0.6, abs=0.06)
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_risk_and_gradient_against_the_definition(plain):
+    r = np.random.default_rng(5)
+    d = len(quality_model.FEATURES)
+    pos, unl = r.normal(1, 1, (9, d)), r.normal(0, 1, (13, d))
+    m = quality_model.PUModel(pos, unl, 0.4, bins=3, steps=3, against_unlabelled=plain)
+    sp, su = m._slots(pos), m._slots(unl)
+
+    def brute(weights, bias):
+        loss = lambda f, y: math.log1p(math.exp(-f if y else f))
+        score = lambda slots: [sum(weights[k] for k in row) + bias for row in slots]
+        fp, fu = score(sp), score(su)
+        mean = lambda v: sum(v) / len(v)
+        if plain:
+            return 0.4 * mean([loss(f, 1) for f in fp]) + 0.6 * mean([loss(f, 0) for f in fu]), 1.0
+        negative = mean([loss(f, 0) for f in fu]) - 0.4 * mean([loss(f, 0) for f in fp])
+        return 0.4 * mean([loss(f, 1) for f in fp]) + max(0.0, negative), negative
+
+    for scale in (0.0, 0.3, 2.0):
+        m.weights, m.bias = r.normal(0, scale, len(m.weights)), 0.2
+        risk, step = m.risk(sp, su)
+        want, negative = brute(m.weights, m.bias)
+        assert risk == pytest.approx(want)
+        if negative > 0:
+            for k in [*range(0, len(m.weights), 7), len(m.weights)]:
+                shift = np.zeros(len(m.weights) + 1)
+                shift[k] = 1e-5
+                slope = (brute(m.weights + shift[:-1], m.bias + shift[-1])[0] - brute(m.weights - shift[:-1], m.bias - shift[-1])[0]) / 2e-5
+                assert step[k] == pytest.approx(slope, abs=1e-6)
+
+
 def test_pu_risk_stays_non_negative():
     r = np.random.default_rng(0)
     d = len(quality_model.FEATURES)

@@ -3,16 +3,16 @@
 The automaton reads tokens: its paths are exactly the token sequences that BPE can produce. It starts
 as one state with an arc for every base symbol and takes one gadget per merge (a, b) -> c, in order of
 rank: the a-arcs lead to a new copy of their target that lacks the b-arc, and every state with an a-arc
-gets a c-arc to where b led. A state is then known by the token that leads to it: the state of c begins
-as that of b, and each later merge (c, x) takes the x-arc away. The gadgets are kept as such, not as
-copied arc lists: a state is a link to the state it was copied from, the rank at which it was copied and
-the arc removed; and an arc c exists in a state if its a-arc did when c was made. `follows` answers from
-these tables whether an arc is there, and answers are remembered.
+gets a c-arc to where b led. All arcs of a token so lead to one state, and a state is known by that token.
+States are stored as what they differ in: the state that they were copied from, the rank at which, and the arcs
+that they lost since, each with its rank (a state that lost the a-arc never gets the c-arc, and has it among the lost
+ones too). For 49,000 merges these are 49,000 states and a million lost arcs, in three flat tables.
 
-Encoding a word goes from left to right along arcs whose labels stand in the text, the longest first, and goes
-back where the automaton has no such arc. Each prefix has at most one path, so a position that was left is never
-entered again: the cost is linear in the length of the word times the length of the longest token, whatever
-the word. Decoding emits the labels of the arcs.
+Encoding a word goes through its positions from left to right. The prefix up to a position has one path, so a
+position has one state; from there each arc whose label stands in the text is looked up in the state's table,
+and where it exists it settles the state of the position behind the label. No position is entered twice and
+nothing is taken back: the cost is linear in the length of the word times the number of labels that stand at a position,
+whatever the word. The ids are read off along the states from the end. Decoding emits the labels of the arcs.
 
 Text is prepared as the vocabulary file says: special strings are cut out first, then NFC, blanks to one
 space, lower case by code point, and words split by the pattern of the file. Files that ask for anything
@@ -37,9 +37,9 @@ from pyspark.sql import types as T
 
 from cladeflow.session import ship, table, trimmed
 
-NEVER = 1 << 60
 CACHED_WORDS = 250_000
-CACHED_ARCS = 500_000
+NEVER = 1 << 60
+UNKNOWN, START = -2, -1
 
 
 def byte_symbols() -> list[str]:
@@ -50,7 +50,12 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """States, arcs and labels; `made[t]` is the rank of the merge that makes token t, -1 for base symbols."""
+    """States, arcs and labels.
+
+    State t stands behind token t. `made[t]` is the rank of the merge that makes t (-1 for base symbols), `right[t]` the
+    state that it was copied from at that rank (-1 for base symbols: copied from the first state, which never loses an
+    arc). The arcs that it lost are `arc[first[t] : first[t + 1]]`, at the ranks `rank[...]`.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "") -> None:
         self.suffix = suffix
@@ -58,20 +63,12 @@ class Automaton:
         self.labels: list[str | None] = [None] * size
         for s, i in vocab.items():
             self.labels[i] = s
-        self.left, self.right, self.made = [-1] * size, [-1] * size, [-1] * size
-        self.removed: dict[tuple[int, int], int] = {}
-        #: Answers of `follows` so far, by the token before.
-        self.known: list[dict[int, bool]] = [{} for _ in range(size)]
-        self.n_known = 0
-        dead = set()
-        for rank, (a, b) in enumerate(merges):
-            u, v, c = vocab[a], vocab[b], vocab[(a.removesuffix(suffix) if suffix else a) + b]
-            if self.made[c] >= 0:
-                raise ValueError(f"token {c} is made by two merges")
-            if u in dead or v in dead or not self._arc(u, v, rank):
-                dead.add(c)  # nothing ever stands there for this merge to join
-            self.left[c], self.right[c], self.made[c] = u, v, rank
-            self.removed[u, v] = rank
+        self.right, self.made = [START] * size, [-1] * size
+        lost: list[dict[int, int]] = [{} for _ in range(size)]
+        dead = self._compile(vocab, merges, lost)
+        self.first = np.cumsum([0, *map(len, lost)])
+        self.arc = np.fromiter((v for s in lost for v in s), np.int32, self.first[-1])
+        self.rank = np.fromiter((r for s in lost for r in s.values()), np.int32, self.first[-1])
         #: Token by label, for tokens inside a word; -1: a label only begins like this.
         self.inside: dict[str, int] = {}
         #: Token by label, for tokens that end a word, without the suffix.
@@ -87,78 +84,104 @@ class Automaton:
                 self.inside[label] = i
             for n in range(1, len(label) + 1):
                 self.inside.setdefault(label[:n], -1)
+        self._ready()
 
-    def _arc(self, u: int, v: int, before: int = NEVER) -> bool:
-        """Whether the state behind u has a v-arc after the gadgets of rank below `before`.
-
-        The state of u is a chain of copies along the right halves of u; the arc v came about along the
-        left halves of v. The arc is missing if a gadget removed it, or what it was made from, in time;
-        a gadget of equal halves removes its arc before it adds one (three equal letters join from the left).
-        """
-        s, until = u, before
-        while s >= 0:
-            w, upto = v, before - 1
-            while w >= 0:
-                rank = self.removed.get((s, w), NEVER)
-                if self.made[s] < rank < until and self.made[w] < rank <= upto:
-                    return False
-                upto = min(upto, self.made[w]) if self.made[w] >= 0 else upto
-                w = self.left[w]
-            until = min(until, self.made[s]) if self.made[s] >= 0 else until
-            s = self.right[s]
+    def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]], lost: list[dict[int, int]]) -> set[int]:
+        """Applies the gadgets of all merges in order; the tokens that no merge ever makes."""
+        losers: list[list[int]] = [[] for _ in lost]  # by arc: the states that lost it
+        dead: set[int] = set()
+        for rank, (a, b) in enumerate(merges):
+            u, v, c = vocab[a], vocab[b], vocab[(a.removesuffix(self.suffix) if self.suffix else a) + b]
+            if self.made[c] >= 0:
+                raise ValueError(f"token {c} is made by two merges")
+            if u in dead or v in dead or not self._had(u, v, lost):
+                dead.add(c)  # nothing ever stands there for this merge to join
+            # First the loss, then the new arc: of three equal letters the left two join.
+            if v not in lost[u]:
+                lost[u][v] = rank
+                losers[v].append(u)
+            self.right[c], self.made[c] = v, rank
+            for s in losers[u]:
+                lost[s][c] = lost[s][u]
+            losers[c] = losers[u][:]
+        return dead
+
+    def _had(self, state: int, arc: int, lost: list[dict[int, int]]) -> bool:
+        """Whether a state has an arc after the gadgets so far: neither it nor, before it was copied, one that it comes from has lost it."""
+        until = NEVER
+        while state >= 0:
+            if lost[state].get(arc, NEVER) < until:
+                return False
+            until, state = self.made[state], self.right[state]
         return True
 
+    def _ready(self) -> None:
+        self.tables = Tables(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._ready()
+
     def follows(self, u: int, v: int) -> bool:
-        """Whether token v may stand after token u (at the start u is -1)."""
-        if u < 0:
-            return True
-        known = self.known[u].get(v)
-        if known is None:
-            if self.n_known >= CACHED_ARCS:
-                self.known, self.n_known = [{} for _ in self.labels], 0
-            known = self.known[u][v] = self._arc(u, v)
-            self.n_known += 1
-        return known
-
-    def _from(self, word: str, begin: int) -> list[tuple[int, int]]:
-        """(token, end) of the arcs whose labels stand at `begin`, the longest last."""
-        out, n, inside = [], len(word), self.inside.get
-        for i in range(begin + 1, n):
-            t = inside(word[begin:i])
-            if t is None:
-                return out
-            if t >= 0:
-                out.append((t, i))
-        if (t := self.ending.get(word[begin:])) is not None:
-            out.append((t, n))
-        return out
+        """Whether the state behind token u has a v-arc (at the start u is START)."""
+        return not any(lost.get(v, NEVER) < until for lost, until in self.tables[u])
 
     def encode_word(self, word: str) -> list[int]:
-        """The ids of a word of byte symbols: the longest arcs first, back where none goes on.
-
-        Each prefix has one path at most, so a position from which no path ends the word is left for good.
-        """
+        """The ids of a word of byte symbols, by one state for each position."""
         n = len(word)
-        if not n:
-            return []
-        ids: list[int] = []
-        ways, begins, dead = [self._from(word, 0)], [0], set()
-        while begins[-1] < n:
-            last = ids[-1] if ids else -1
-            while ways[-1]:
-                t, end = ways[-1].pop()
-                if end not in dead and self.follows(last, t):
-                    ids.append(t)
-                    begins.append(end)
-                    ways.append(self._from(word, end) if end < n else [])
+        state, begin = [UNKNOWN] * (n + 1), [0] * (n + 1)
+        state[0] = START
+        inside, tables = self.inside.get, self.tables
+        for j in range(n):
+            u = state[j]
+            if u == UNKNOWN:
+                continue
+            table = tables[u]
+            for i in range(j + 1, n):
+                t = inside(word[j:i])
+                if t is None:
                     break
+                if t >= 0 and state[i] == UNKNOWN:
+                    for lost, until in table:
+                        if lost.get(t, NEVER) < until:
+                            break
+                    else:
+                        state[i], begin[i] = t, j
             else:
-                dead.add(begins.pop())
-                ways.pop()
-                if not ids:
-                    raise ValueError(f"no path for {word!r}")
-                ids.pop()
-        return ids
+                t = self.ending.get(word[j:])
+                if t is not None and state[n] == UNKNOWN and self.follows(u, t):
+                    state[n], begin[n] = t, j
+        if state[n] == UNKNOWN:
+            raise ValueError(f"no path for {word!r}")
+        ids, at = [], n
+        while at:
+            ids.append(state[at])
+            at = begin[at]
+        return ids[::-1]
+
+
+class Tables(dict):
+    """By state the arcs that it lacks: (lost arcs with their ranks, the rank below which they count) of the state itself and of
+    those that it comes from, as far as they lost any. They are laid out from the flat tables when first met."""
+
+    def __init__(self, of: Automaton) -> None:
+        self.of, self.own = of, {}
+        self[START] = ()
+
+    def __missing__(self, state: int) -> tuple[tuple[dict[int, int], int], ...]:
+        of, until, s, found = self.of, NEVER, state, []
+        while s >= 0:
+            a, b = of.first[s : s + 2].tolist()
+            if a < b:
+                if s not in self.own:
+                    self.own[s] = dict(zip(of.arc[a:b].tolist(), of.rank[a:b].tolist(), strict=True))
+                found.append((self.own[s], until))
+            until, s = of.made[s], of.right[s]
+        self[state] = tuple(found)
+        return self[state]
 
 
 class Tokenizer:
@@ -169,6 +192,8 @@ class Tokenizer:
         plain = m["type"] == "BPE" and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if any(x.get(k) for x in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("this vocabulary file has added tokens that take what stands beside them")
         if not (plain and steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and spec.get("decoder") is None):
             raise ValueError("this vocabulary file asks for steps that are not implemented")
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ", 1)) for x in m["merges"]]

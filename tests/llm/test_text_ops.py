@@ -191,6 +191,73 @@ def test_bpe_small_merges():
         bpe.Automaton({"a": 0, "b": 1, "ab": 2, "aba": 3, "ba": 4}, [("a", "b"), ("b", "a"), ("ab", "a"), ("a", "ba")])
 
 
+def gadgets(symbols, merges):
+    """The automaton by the book: explicit states and arcs, one gadget after the other; the arcs behind each token."""
+    arcs = [{x: 0 for x in symbols}]
+    for a, b in merges:
+        c = a + b
+        places = [p for p, out in enumerate(arcs) if a in out]
+        if not places:
+            continue
+        (target,) = {arcs[p][a] for p in places}  # all arcs of a token lead to one state
+        if b not in arcs[target]:
+            continue
+        then = arcs[target][b]
+        arcs.append({t: s for t, s in arcs[target].items() if t != b})
+        new = len(arcs) - 1
+        for p in [*places, *([new] if a in arcs[new] else [])]:
+            arcs[p][a] = new
+            arcs[p][c] = then
+    behind = {}
+    seen, todo = {0}, [0]
+    while todo:
+        for t, s in arcs[todo.pop()].items():
+            behind.setdefault(t, set()).add(s)
+            if s not in seen:
+                seen.add(s)
+                todo.append(s)
+    return {t: {x for s in states for x in arcs[s]} for t, states in behind.items()}, {t: len(v) for t, v in behind.items()}
+
+
+def test_states_and_arcs_against_explicit_gadgets():
+    r = random.Random(31)
+    for _ in range(150):
+        symbols = "abc"[: r.choice((1, 2, 3))]
+        tokens, merges = list(symbols), []
+        for _ in range(r.randint(1, 12)):
+            a, b = r.choice(tokens), r.choice(tokens)
+            if a + b not in tokens:
+                tokens.append(a + b)
+                merges.append((a, b))
+        vocab = {t: i for i, t in enumerate(tokens)}
+        auto = bpe.Automaton(vocab, merges)
+        arcs, states = gadgets(symbols, merges)
+        assert set(states.values()) == {1}
+        for u in arcs:
+            mine = {v for v in arcs if auto.follows(vocab[u], vocab[v])}
+            assert mine == arcs[u], (merges, u)
+        for _ in range(40):
+            w = "".join(r.choice(symbols) for _ in range(r.randint(1, 14)))
+            parts = list(w)
+            for a, b in merges:
+                i = 0
+                while i < len(parts) - 1:
+                    if (parts[i], parts[i + 1]) == (a, b):
+                        parts[i : i + 2] = [a + b]
+                    i += 1
+            assert auto.encode_word(w) == [vocab[p] for p in parts], (merges, w)
+
+
+def test_added_tokens_that_take_blanks_are_refused(both):
+    import json
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError, match="added tokens"):
+        bpe.Tokenizer(spec)
+
+
 def test_bpe_frames(spark, both):
     rows = [(1, None), (2, ""), (3, "Hello World"), (3, "Hello World"), (None, "x" * 100_000)]
     df = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, n_tokens string")

@@ -28,7 +28,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,23 +149,29 @@ def mark_revisits(rows: DataFrame, min_bytes: int) -> DataFrame:
     """
     marked = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.concat(F.sha1("payload"), F.lit(":"), F.octet_length("payload"))))
     repeated = marked.where("digest is not null").groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
-    joined = marked.join(repeated, "digest", "left")
+    # Payloads below min_bytes stay out of the join: all of them would meet in one partition.
+    joined = marked.where("digest is not null").join(repeated, "digest", "left")
+    if min_bytes > 0:
+        joined = joined.unionByName(marked.where("digest is null"), allowMissingColumns=True)
     other = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     return joined.select("id", "url", "payload", F.when(other, F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 6, archive_bytes: int = 16 << 20) -> None:
-    """Write a record per row below `path`; a new archive begins after `archive_bytes`."""
+    """Write a record per row below `path`; a new archive begins after `archive_bytes`.
+
+    Folder archive=n has the n-th archive of every task, so there are as many folders as archives of the largest task.
+    """
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(body_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
 
     def compress(batches):
-        task, number, size = TaskContext.get().partitionId(), 0, 0
+        number, size = 0, 0
         for b in batches:
             out, archives = [], []
             for i, url, payload, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 out.append(member(record_bytes(i, url, payload, refers, date), level))
-                archives.append(f"{task:06d}-{number:04d}")
+                archives.append(f"{number:06d}")
                 size += len(out[-1])
                 if size >= archive_bytes:
                     number, size = number + 1, 0

@@ -178,12 +178,12 @@ def shared_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str,
     return found.join(want, found["th"].eqNullSafe(want["_t"]) & found["doc_id"].eqNullSafe(want["_d"])).select("cid", "s").dropDuplicates(["cid"])
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, bitmap_bits: int) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, bitmap_bits: int, slack: float = SLACK) -> DataFrame:
     """The pairs (u, v) of classes whose full sets are at the threshold or above, as a written table."""
     a = reps.select(F.col("cid").alias("u"), F.col("sig").alias("sig_u"), F.col("n").alias("n_u"))
     b = reps.select(F.col("cid").alias("v"), F.col("sig").alias("sig_v"), F.col("n").alias("n_v"))
     likely = pairs.join(a, "u").join(b, "v")
-    likely = likely.where((F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold) & (estimate(F.col("sig_u"), F.col("sig_v")) >= threshold - SLACK))
+    likely = likely.where((F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold) & (estimate(F.col("sig_u"), F.col("sig_v")) >= threshold - slack))
     likely = written(likely.select("u", "v"), "likely")
     ends = likely.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
     needed = written(reps.select("cid", "doc_id", "th").join(ends, "cid"), "needed")
@@ -266,7 +266,7 @@ def pieces(batches):
         yield pa.Table.from_batches(held)
 
 
-def likely_pairs(part: pa.Table, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def likely_pairs(part: pa.Table, threshold: float, slack: float = SLACK) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, rows, estimates) of a piece's pairs in different components that may be similar.
 
     A pair that shares several buckets counts in the first of them only.
@@ -287,7 +287,7 @@ def likely_pairs(part: pa.Table, threshold: float) -> list[tuple[np.ndarray, np.
         same = 1 - np.bitwise_count(x & np.uint64(MASK)).sum(axis=2, dtype=np.int64) / MINIMA
         near = (same - 1 / 16) / (1 - 1 / 16)
         a, b = n[rows][:, None], n[right][None, :]
-        ok = (near >= threshold - SLACK) & (np.minimum(a, b) >= threshold * np.maximum(a, b)) & (comp[rows][:, None] != comp[right][None, :])
+        ok = (near >= threshold - slack) & (np.minimum(a, b) >= threshold * np.maximum(a, b)) & (comp[rows][:, None] != comp[right][None, :])
         if lo == hi:
             ok &= cid[rows][:, None] < cid[right][None, :]
         r, c = np.nonzero(ok)
@@ -301,7 +301,7 @@ def likely_pairs(part: pa.Table, threshold: float) -> list[tuple[np.ndarray, np.
     return out
 
 
-def apart(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+def apart(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float, slack: float = SLACK) -> DataFrame:
     """PIECE rows: the members of buckets (key, cid) that have a likely partner in another component.
 
     A bucket is cut into blocks and every pair of blocks (lo, hi) is a piece of work of its own. A member is
@@ -317,14 +317,14 @@ def apart(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: floa
 
     def run(batches):
         for part in pieces(batches):
-            if found := likely_pairs(part, threshold):
+            if found := likely_pairs(part, threshold, slack):
                 rows = np.unique(np.concatenate([x for u, v, _ in found for x in (u, v)]))
                 yield from part.take(pa.array(rows)).combine_chunks().to_batches()
 
     return m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), PIECE)
 
 
-def links_across(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def links_across(rows: DataFrame, sets: DataFrame, threshold: float, slack: float = SLACK) -> DataFrame:
     """(u, v) of PIECE rows that join components, confirmed on the full sets; in a piece at most one for each member."""
     dealt = rows.join(sets, "cid").select("key", "lo", "hi", "blk", "cid", "comp", "n", "sig", "bands", "s")
 
@@ -339,7 +339,7 @@ def links_across(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFram
                     x = up[x]
                 return x
 
-            found = likely_pairs(part, threshold)
+            found = likely_pairs(part, threshold, slack)
             if not found:
                 continue
             u, v, near = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -365,8 +365,11 @@ def similar(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
     return common >= threshold * (len(p) + len(q) - common)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bitmap_bits: int = 1 << 26) -> DataFrame:
-    """id, n_shingles, component_id, kept, set_key (equal for texts with equal sets) and text_hash for every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bitmap_bits: int = 1 << 26, slack: float = SLACK) -> DataFrame:
+    """id, n_shingles, component_id, kept, set_key (equal for texts with equal sets) and text_hash for every row.
+
+    With a slack of 2 no pair of a bucket is dropped by its estimate (which may be below zero): all of them are compared on the full sets.
+    """
     ship(docs.sparkSession)
     signed = written(signatures(docs, id_col, text_col, words), "signatures")
     classes = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("rid", "doc_id", "th", "n", "sig", "bands")).alias("r"), F.min("doc_id").alias("first_id"))
@@ -379,12 +382,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weighted = members.select("key", "cid").join(weights, "cid")
     heads = weighted.groupBy("key").agg(F.max(F.struct("w", "cid"))["cid"].alias("head"))
     pairs = members.select("key", "cid").join(heads, "key").where("cid <> head").select(F.col("head").alias("u"), F.col("cid").alias("v")).distinct()
-    comps = components(confirmed(pairs, reps, docs, id_col, text_col, words, threshold, bitmap_bits))
-    open_ = written(apart(members.select("key", "cid"), reps, comps, threshold), "apart")
+    comps = components(confirmed(pairs, reps, docs, id_col, text_col, words, threshold, bitmap_bits, slack))
+    open_ = written(apart(members.select("key", "cid"), reps, comps, threshold, slack), "apart")
     if open_.limit(1).count():
         needed = written(reps.select("cid", "doc_id", "th").join(open_.select("cid").distinct(), "cid"), "needed")
         sets = written(shared_sets(docs, needed, id_col, text_col, words, bitmap_bits), "sets")
-        comps = joined(comps, written(links_across(open_, sets, threshold).distinct(), "links"))
+        comps = joined(comps, written(links_across(open_, sets, threshold, slack).distinct(), "links"))
     named = reps.select("cid", "first_id").join(comps, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = comps.join(named, "comp").select("cid", "component_id")
     sets = reps.select("set_a", "set_b", "cid", "first_id").join(of_class, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "first_id").alias("component_id"))

@@ -3,7 +3,9 @@
 DataFrame functions only. The words of all sources, times `volume`, are shared out by weight; a target
 stops at `max_repeats` times its source, and what is above is shared again among the others. The mix is
 cut into blocks of `block_words` words, and the blocks go to the highest quotients target / (2 n - 1): to
-sources first, then to the `fan` shards of a source by their size, then to the `fan` parts of a shard.
+sources first, then to the shards of a source by their size, then to the parts of a shard. A source has as many shards,
+and a shard as many parts, as leave about `part_blocks` blocks or more to a part, and `fan` of each at most. (In a part
+of less than a block, what is apportioned above `max_repeats` times its size would be lost.)
 Every part so has a whole number of blocks. Inside a part the documents stand in a seeded order on a ring
 of their words, and its blocks are the ring's from a seeded first one on, round and round; a document gives
 the words that the blocks cover, `max_repeats` times its size at most.
@@ -11,7 +13,7 @@ the words that the blocks cover, `max_repeats` times its size at most.
 A round of apportionment ranks only the quotients that can decide: each member gets what it has for
 certain, from a divisor that is too large, and about three candidates a member are ranked for the rest.
 No ranking sees more than `fan` members of one group, however many documents a source has; documents meet
-only inside their part, one of fan * fan of their source. The table of sources has one row a source.
+only inside their part, one of fan * fan of a large source. The table of sources has one row a source.
 
 Defined cases: null text has no words and null sources form a source of their own, the last; documents without words have a
 target but give nothing; repeated rows count each and share words alike; reruns agree, whatever the
@@ -79,7 +81,7 @@ def targets(sources: DataFrame, volume: float, max_repeats: int) -> DataFrame:
     return a.select("source", "source_size", "rank", "weight", "target", F.col("_all").alias("volume"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", volume: float = 1.5, max_repeats: int = 2, block_words: int = 8, fan: int = 256, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", volume: float = 1.5, max_repeats: int = 2, block_words: int = 8, part_blocks: int = 64, fan: int = 256, seed: str = SEED) -> DataFrame:
     """id, row_hash, size, source_size, target, taken, and the mix's share of each row: copies and parts.
 
     `copies` are whole uses of the document, `parts` are (begin, end) word positions of the rest.
@@ -87,20 +89,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), hash60(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("_h"))
     rows = written(rows.withColumns({"_a": F.col("_h") % fan, "_b": F.expr(f"_h div {fan}") % fan}), "sizes")
-    parts = rows.groupBy("source", "_a", "_b").agg(F.sum("size").alias("part_size"))
-    shards = parts.groupBy("source", "_a").agg(F.sum("part_size").alias("shard_size"))
-    sources = shards.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
+    cells = written(rows.groupBy("source", "_a", "_b").agg(F.sum("size").alias("cell_size")), "cells")
+    sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
+    root = F.floor(F.sqrt(F.col("source_size") / (part_blocks * block_words))).cast("long")
+    cells = lookup(cells, sources.withColumn("_fan", F.greatest(F.lit(1), F.least(F.lit(fan), root))).drop("source_size"), ["source"])
+    cells = cells.withColumns({"shard": F.col("_a") % F.col("_fan"), "part": F.col("_b") % F.col("_fan")}).drop("_fan")
+    parts = cells.groupBy("source", "shard", "part").agg(F.sum("cell_size").alias("part_size"))
+    shards = parts.groupBy("source", "shard").agg(F.sum("part_size").alias("shard_size"))
     sources = apportion(targets(sources, volume, max_repeats).withColumn("_blocks", F.floor(F.col("volume") / block_words + 0.5)), [], ["rank"], "target", "_blocks", "source_blocks")
-    shards = apportion(lookup(shards, sources.select("source", "source_blocks"), ["source"]), ["source"], ["_a"], "shard_size", "source_blocks", "shard_blocks")
-    parts = lookup(parts, shards.select("source", "_a", "shard_blocks"), ["source", "_a"])
-    parts = apportion(parts, ["source", "_a"], ["_b"], "part_size", "shard_blocks", "blocks").drop("shard_blocks")
+    shards = apportion(lookup(shards, sources.select("source", "source_blocks"), ["source"]), ["source"], ["shard"], "shard_size", "source_blocks", "shard_blocks")
+    parts = lookup(parts, shards.select("source", "shard", "shard_blocks"), ["source", "shard"])
+    parts = apportion(parts, ["source", "shard"], ["part"], "part_size", "shard_blocks", "blocks").drop("shard_blocks")
     parts = lookup(parts, sources.select("source", "source_size", "target"), ["source"])
-    d = lookup(rows, parts, ["source", "_a", "_b"])
-    ring = Window.partitionBy("source", "_a", "_b").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    d = lookup(rows, lookup(cells.drop("cell_size"), parts, ["source", "shard", "part"]), ["source", "_a", "_b"])
+    ring = Window.partitionBy("source", "shard", "part").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_end", F.sum("size").over(ring))
     words = F.least(F.col("blocks") * block_words, F.col("part_size") * max_repeats)
     some = F.col("part_size") > 0
-    first = F.when(some, hash60(F.lit(seed), F.coalesce("source", F.lit("")), F.col("_a"), F.col("_b")) % F.ceil(F.col("part_size") / block_words) * block_words)
+    first = F.when(some, hash60(F.lit(seed), F.coalesce("source", F.lit("")), F.col("shard"), F.col("part")) % F.ceil(F.col("part_size") / block_words) * block_words)
     d = d.withColumns({"_begin": F.col("_end") - F.col("size"), "copies": F.coalesce(F.when(some, F.floor(words / F.col("part_size"))), F.lit(0)).cast("long"), "_first": first})
     d = d.withColumn("_rest", F.coalesce(words - F.col("copies") * F.col("part_size"), F.lit(0)))
     # The rest covers [first, first + rest) of the ring: at most two pieces of a document.
@@ -177,8 +183,10 @@ WITH src AS (
   SELECT doc_id, documents.source, rank, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
     {_hash("'" + SEED + "'", "coalesce(doc_id::VARCHAR, '')", "coalesce(text, '')")} AS h
   FROM documents JOIN src ON documents.source IS NOT DISTINCT FROM src.source
+), z AS (
+  SELECT rank, sum(size) AS source_size, greatest(1, least(256, floor(sqrt(sum(size)::DOUBLE / 512))))::BIGINT AS fan FROM d GROUP BY rank
 ), r AS (
-  SELECT *, h % 256 AS a, (h // 256) % 256 AS b FROM d
+  SELECT d.*, h % 256 % fan AS a, (h // 256) % 256 % fan AS b FROM d JOIN z USING (rank)
 ), p0 AS (
   SELECT rank, a, b, sum(size)::BIGINT AS part_size FROM r GROUP BY ALL
 ), s0 AS (

@@ -273,6 +273,20 @@ def test_mix(spark, seed):
     assert key(again.collect()) == key(mixing.mix(df).collect())
 
 
+@pytest.mark.parametrize("most", [1, 3, 8])
+def test_mix_of_short_texts(spark, most):
+    r = random.Random(most)
+    rows = [(i, " ".join("w" * r.randint(1, 9) for _ in range(r.randint(1, most))), "en", "ab"[i % 4 == 0] if i % 50 else None, 1) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    sizes, taken = {}, {}
+    for d in got:
+        s = rows[d.doc_id][3]
+        sizes[s], taken[s] = sizes.get(s, 0) + d["size"], taken.get(s, 0) + d.taken
+        assert 0 <= d.taken <= 2 * d["size"]
+    for s, want in targets(sizes).items():
+        assert abs(taken[s] - want) <= 0.02 * want + 8, s
+
+
 def test_apportion_is_sainte_lague(spark):
     r = random.Random(9)
     groups = {g: {k: r.choice((0, 1, 3, 3, 10, 50, 1000)) for k in range(r.randint(1, 12))} for g in range(40)}

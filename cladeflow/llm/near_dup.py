@@ -25,6 +25,8 @@ are null, and then its id is null; an empty table gives none; extra columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,7 +43,9 @@ WORDS, THRESHOLD = 5, 0.75
 #: Pairs estimated further than this below the threshold are not confirmed: at 0.75 itself, an estimate from
 #: 256 minima falls so low once in 10^5 (4.3 standard errors), at 0.8 once in 10^10.
 SLACK = 0.12
-BLOCK = 512
+#: Members in a block of a bucket of k: BLOCK, or sqrt(WIDEN * k) where that is more. So a bucket sends k * sqrt(k / WIDEN) rows
+#: at most, and a task holds two blocks, whose pairs it goes through CHUNK at a time.
+BLOCK, WIDEN, CHUNK = 512, 64, 1 << 15
 PORTION = 256
 MASK = 0x1111111111111111
 
@@ -266,21 +270,21 @@ def pieces(batches):
         yield pa.Table.from_batches(held)
 
 
-def likely_pairs(part: pa.Table, threshold: float, slack: float = SLACK) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, rows, estimates) of a piece's pairs in different components that may be similar.
+def likely_pairs(part: pa.Table, threshold: float, slack: float = SLACK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, estimates) of a piece's pairs in different components that may be similar, out of CHUNK pairs at a time.
 
     A pair that shares several buckets counts in the first of them only.
     """
     cid, comp, n, blk = (part.column(c).to_numpy() for c in ("cid", "comp", "n", "blk"))
     if (comp == comp[0]).all():
-        return []
+        return
     sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, N_SIG).view(np.uint64)
     bands = part.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     key, lo, hi = (part.column(c)[0].as_py() for c in ("key", "lo", "hi"))
     left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
-    out = []
-    for i in range(0, len(left), 64):
-        rows = left[i : i + 64]
+    step = max(1, CHUNK // max(1, len(right)))
+    for i in range(0, len(left), step):
+        rows = left[i : i + step]
         x = sig[rows][:, None, :] ^ sig[right][None, :, :]
         x |= x >> np.uint64(1)
         x |= x >> np.uint64(2)
@@ -297,8 +301,7 @@ def likely_pairs(part: pa.Table, threshold: float, slack: float = SLACK) -> list
         first = (bands[u] == bands[v]).argmax(axis=1)
         here = bands[u, first] == key
         if here.any():
-            out.append((u[here], v[here], near[r, c][here]))
-    return out
+            yield u[here], v[here], near[r, c][here]
 
 
 def apart(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float, slack: float = SLACK) -> DataFrame:
@@ -310,16 +313,18 @@ def apart(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: floa
     m = members.join(comps, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = m.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b").select("key", "k")
     m = m.join(split, "key").join(reps.select("cid", "n", "sig", "bands"), "cid")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("long")
+    blocks = F.ceil(F.col("k") / F.greatest(F.lit(float(BLOCK)), F.sqrt(F.col("k") * WIDEN))).cast("long")
     m = m.withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("cid"), blocks)})
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     m = m.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "cid", "comp", "n", "sig", "bands")
 
     def run(batches):
         for part in pieces(batches):
-            if found := likely_pairs(part, threshold, slack):
-                rows = np.unique(np.concatenate([x for u, v, _ in found for x in (u, v)]))
-                yield from part.take(pa.array(rows)).combine_chunks().to_batches()
+            named = np.zeros(len(part), bool)
+            for u, v, _ in likely_pairs(part, threshold, slack):
+                named[u] = named[v] = True
+            if named.any():
+                yield from part.take(pa.array(np.flatnonzero(named))).combine_chunks().to_batches()
 
     return m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), PIECE)
 
@@ -339,17 +344,14 @@ def links_across(rows: DataFrame, sets: DataFrame, threshold: float, slack: floa
                     x = up[x]
                 return x
 
-            found = likely_pairs(part, threshold, slack)
-            if not found:
-                continue
-            u, v, near = (np.concatenate(x) for x in zip(*found, strict=True))
             us, vs = [], []
-            for i in np.argsort(-near, kind="stable").tolist():
-                a, b = top(comp[u[i]]), top(comp[v[i]])
-                if a != b and similar(sets[u[i]], sets[v[i]], threshold):
-                    up[max(a, b)] = min(a, b)
-                    us.append(cid[u[i]])
-                    vs.append(cid[v[i]])
+            for u, v, near in likely_pairs(part, threshold, slack):
+                for i in np.argsort(-near, kind="stable").tolist():
+                    a, b = top(comp[u[i]]), top(comp[v[i]])
+                    if a != b and similar(sets[u[i]], sets[v[i]], threshold):
+                        up[max(a, b)] = min(a, b)
+                        us.append(cid[u[i]])
+                        vs.append(cid[v[i]])
             yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "u long, v long")

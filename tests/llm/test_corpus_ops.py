@@ -80,8 +80,12 @@ def test_near_duplicates(spark, seed):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows)
 
 
-def test_hot_group_of_edited_copies(spark):
-    """Copies that are each close to their source and not to one another: linked through it alone."""
+@pytest.mark.parametrize("block", [None, 5])
+def test_hot_group_of_edited_copies(spark, monkeypatch, block):
+    """Copies that are each close to their source and not to one another: linked through it alone; also with buckets in many blocks."""
+    if block:
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "WIDEN", 1)
     r = random.Random(8)
     base = [f"s{i}" for i in range(200)]
     rows = [(500, " ".join(base))]

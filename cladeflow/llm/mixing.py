@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeflow.session import table, written
+from cladeflow.session import few_files, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), hash60(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("_h"))
     rows = written(rows.withColumns({"_a": F.col("_h") % fan, "_b": F.expr(f"_h div {fan}") % fan}), "sizes")
-    cells = written(rows.groupBy("source", "_a", "_b").agg(F.sum("size").alias("cell_size")), "cells")
+    cells = written(rows.groupBy("source", "_a", "_b").agg(F.sum("size").alias("cell_size")), "cells", few_files(docs, rows))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     root = F.floor(F.sqrt(F.col("source_size") / (part_blocks * block_words))).cast("long")
     cells = lookup(cells, sources.withColumn("_fan", F.greatest(F.lit(1), F.least(F.lit(fan), root))).drop("source_size"), ["source"])

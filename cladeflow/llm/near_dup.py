@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.session import ship, table, trimmed, written
+from cladeflow.session import few_files, ship, table, trimmed, written
 
 BANDS, ROWS = 32, 4
 #: Minima in a signature, of which the bands use the first BANDS * ROWS, and the bits kept of each.
@@ -182,16 +182,16 @@ def shared_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str,
     return found.join(want, found["th"].eqNullSafe(want["_t"]) & found["doc_id"].eqNullSafe(want["_d"])).select("cid", "s").dropDuplicates(["cid"])
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, bitmap_bits: int, slack: float = SLACK) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, bitmap_bits: int, slack: float = SLACK, files: int | None = None) -> DataFrame:
     """The pairs (u, v) of classes whose full sets are at the threshold or above, as a written table."""
     a = reps.select(F.col("cid").alias("u"), F.col("sig").alias("sig_u"), F.col("n").alias("n_u"))
     b = reps.select(F.col("cid").alias("v"), F.col("sig").alias("sig_v"), F.col("n").alias("n_v"))
     likely = pairs.join(a, "u").join(b, "v")
     likely = likely.where((F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * threshold) & (estimate(F.col("sig_u"), F.col("sig_v")) >= threshold - slack))
-    likely = written(likely.select("u", "v"), "likely")
+    likely = written(likely.select("u", "v"), "likely", files)
     ends = likely.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
-    needed = written(reps.select("cid", "doc_id", "th").join(ends, "cid"), "needed")
-    sets = written(shared_sets(docs, needed, id_col, text_col, words, bitmap_bits), "sets")
+    needed = written(reps.select("cid", "doc_id", "th").join(ends, "cid"), "needed", files)
+    sets = written(shared_sets(docs, needed, id_col, text_col, words, bitmap_bits), "sets", files)
     # u is the head, whose set travels once for a portion of its members, ahead of theirs.
     # A hot u is split into portions of at most about PORTION members, each with a copy of its set.
     portions = likely.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("long").alias("np"))
@@ -213,38 +213,39 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
                     vs.append(v)
             yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return written(dealt.mapInArrow(trimmed(run), "u long, v long"), "links")
+    links = dealt.mapInArrow(trimmed(run), "u long, v long")
+    return written(links.repartition(files) if files else links, "links")  # few rows, but long work for each
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(cid, comp) for every end of a link: the least end that it is connected with.
 
     Labels move to the least neighbour's label and then to their label's label, until none changes; a star
     is done in one round, a chain in about the logarithm of its length.
     """
-    edges = written(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("u").alias("cid")).agg(F.least("u", F.min("v")).alias("comp")), "labels")
+    edges = written(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct(), "edges", files)
+    labels = written(edges.groupBy(F.col("u").alias("cid")).agg(F.least("u", F.min("v")).alias("comp")), "labels", files)
     while True:
         near = edges.join(labels.withColumnRenamed("cid", "v"), "v").groupBy("u").agg(F.min("comp").alias("near"))
         moved = labels.join(near, labels["cid"] == near["u"]).select("cid", F.col("comp").alias("old"), F.least("comp", "near").alias("at"))
         jump = labels.select(F.col("cid").alias("at"), F.col("comp").alias("far"))
-        moved = written(moved.join(jump, "at", "left").select("cid", "old", F.least("at", "far").alias("comp")), "labels")
+        moved = written(moved.join(jump, "at", "left").select("cid", "old", F.least("at", "far").alias("comp")), "labels", files)
         changed = moved.where("comp <> old").limit(1).count()
         labels = moved.select("cid", "comp")
         if not changed:
             return labels
 
 
-def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+def joined(comps: DataFrame, links: DataFrame, files: int | None = None) -> DataFrame:
     """comps with more links: only the components that these connect are gone through again."""
     if not links.limit(1).count():
         return comps
     ends = links.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(comps, "cid", "left_anti")
-    all_ends = written(comps.select("cid", "comp").union(ends.select("cid", F.col("cid").alias("comp"))), "ends")
+    all_ends = written(comps.select("cid", "comp").union(ends.select("cid", F.col("cid").alias("comp"))), "ends", files)
     u, v = all_ends.select(F.col("cid").alias("u"), F.col("comp").alias("cu")), all_ends.select(F.col("cid").alias("v"), F.col("comp").alias("cv"))
-    between = components(links.join(u, "u").join(v, "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    between = components(links.join(u, "u").join(v, "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")), files)
     moved = between.select(F.col("cid").alias("comp"), F.col("comp").alias("to"))
-    return written(all_ends.join(moved, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")), "labels")
+    return written(all_ends.join(moved, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")), "labels", files)
 
 
 PIECE = "key long, lo long, hi long, blk long, cid long, comp long, n long, sig array<long>, bands array<long>"
@@ -374,22 +375,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     signed = written(signatures(docs, id_col, text_col, words), "signatures")
+    files = few_files(docs, signed)
     classes = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("rid", "doc_id", "th", "n", "sig", "bands")).alias("r"), F.min("doc_id").alias("first_id"))
-    reps = written(classes.select("set_a", "set_b", "first_id", F.col("r.rid").alias("cid"), "r.doc_id", "r.th", "r.n", "r.sig", "r.bands"), "classes")
+    reps = written(classes.select("set_a", "set_b", "first_id", F.col("r.rid").alias("cid"), "r.doc_id", "r.th", "r.n", "r.sig", "r.bands"), "classes", files)
     keyed = reps.select(F.explode("bands").alias("key"), "cid")
     full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = written(keyed.join(full, "key"), "members")
+    members = written(keyed.join(full, "key"), "members", files)
     # The head of a bucket is the member that meets most others in all its buckets: of edited copies, mostly their source.
     weights = members.groupBy("cid").agg(F.sum("k").alias("w"))
     weighted = members.select("key", "cid").join(weights, "cid")
     heads = weighted.groupBy("key").agg(F.max(F.struct("w", "cid"))["cid"].alias("head"))
     pairs = members.select("key", "cid").join(heads, "key").where("cid <> head").select(F.col("head").alias("u"), F.col("cid").alias("v")).distinct()
-    comps = components(confirmed(pairs, reps, docs, id_col, text_col, words, threshold, bitmap_bits, slack))
-    open_ = written(apart(members.select("key", "cid"), reps, comps, threshold, slack), "apart")
+    comps = components(confirmed(pairs, reps, docs, id_col, text_col, words, threshold, bitmap_bits, slack, files), files)
+    open_ = apart(members.select("key", "cid"), reps, comps, threshold, slack)
+    open_ = written(open_.repartition(files) if files else open_, "apart")
     if open_.limit(1).count():
-        needed = written(reps.select("cid", "doc_id", "th").join(open_.select("cid").distinct(), "cid"), "needed")
-        sets = written(shared_sets(docs, needed, id_col, text_col, words, bitmap_bits), "sets")
-        comps = joined(comps, written(links_across(open_, sets, threshold, slack).distinct(), "links"))
+        needed = written(reps.select("cid", "doc_id", "th").join(open_.select("cid").distinct(), "cid"), "needed", files)
+        sets = written(shared_sets(docs, needed, id_col, text_col, words, bitmap_bits), "sets", files)
+        comps = joined(comps, written(links_across(open_, sets, threshold, slack).distinct(), "links", files), files)
     named = reps.select("cid", "first_id").join(comps, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = comps.join(named, "comp").select("cid", "component_id")
     sets = reps.select("set_a", "set_b", "cid", "first_id").join(of_class, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "first_id").alias("component_id"))
@@ -400,7 +403,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without near duplicates: one of each component, and all rows without words."""
-    found = written(near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).cast("long").alias("_i"), "text_hash", "component_id", "set_key", "kept"), "components")
+    found = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).cast("long").alias("_i"), "text_hash", "component_id", "set_key", "kept")
+    found = written(found, "components", few_files(docs))
     first = found.where("kept and set_key is not null").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")).alias("_set")).agg(F.min(F.struct("text_hash", "_i")).alias("_m"))
     stay = first.select(F.col("_m._i").alias("_i"), F.col("_m.text_hash").alias("_t"), F.lit(True).alias("_words"))
     empty = found.where("set_key is null").select("_i", F.col("text_hash").alias("_t"), F.lit(False).alias("_words")).distinct()

@@ -67,13 +67,37 @@ def drop_scratch(spark: SparkSession, since: int = 0, last: int = 0) -> None:
     del _scratch[since:end]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: it cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, reread: it cuts lineage and survives lost executors.
+
+    With `files` its last tasks are merged to so many at most (see few_files).
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    merged(df, files).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame, files: int | None) -> DataFrame:
+    """df with its partitions merged, without a shuffle, to so many at most; None: as it is."""
+    return df.coalesce(files) if files else df
+
+
+def few_files(docs: DataFrame, rows: DataFrame | None = None) -> int | None:
+    """Files for tables that are small beside docs: one for 4 MB or 4,096 rows of docs (counted in `rows`, if given), one a core at least.
+
+    None where a shuffle has no more partitions than that, or the size of docs isn't known (Spark takes it as huge).
+    A small table behind a shuffle of many partitions is otherwise a tiny file from each of them. On a local
+    folder, without Hadoop's native library, every file has the executor start two processes (chmod), which until they
+    run their own program share the JVM's memory and are counted with it.
+    """
+    spark = docs.sparkSession
+    least, most = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(least, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (4 << 20) + 1)
+    if files < most:
+        files = max(files, (docs if rows is None else rows).count() // 4096 + 1)
+    return files if files < most else None
+
+
 def trimmed(run: Callable, rows: int = 512) -> Callable:
     """run for mapInArrow, on batches of at most `rows`, with memory given back at the end: a Python worker
     lives on for the next task, and Spark's batches of thousands of texts would stand in it several times."""

@@ -2,7 +2,8 @@
 
 Quality rules drop documents and lines, near-duplicate removal leaves one of each group, personal data is replaced by
 its kind, sources are mixed to their target weights (documents repeated, cut or dropped as the mix says), and
-what is left is encoded and decoded with a public vocabulary.
+what is left is encoded and decoded with a public vocabulary. A stage that ends behind a shuffle writes few files for
+few documents, however many partitions the shuffle has.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import bpe, mixing, near_dup, pii, quality_rules
-from cladeflow.session import drop_scratch, scratch_mark, table, written
+from cladeflow.session import drop_scratch, few_files, merged, scratch_mark, table, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -23,12 +24,13 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines above the limit."""
-    return quality_rules.keep_good(docs)
+    files = few_files(docs)
+    return merged(quality_rules.keep_good(docs, files=files), files)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dup.keep_one(docs)
+    return merged(near_dup.keep_one(docs), few_files(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each use that the mix makes of a document."""
-    return mixing.materialise(docs)
+    return merged(mixing.materialise(docs), few_files(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -10,6 +11,7 @@ import tokenizers
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from cladeflow import session
 from cladeflow.llm import bpe, mixing
 from tests.llm.test_corpus_ops import DOCS, brute_components, brute_rules, corpus
 from tests.llm.test_text_ops import plain
@@ -57,6 +59,27 @@ def test_stages_on_odd_rows(spark):
     assert out.count() == docs.count()
 
 
+def test_few_documents_behind_many_partitions_are_few_files(spark, tmp_path, monkeypatch):
+    """Every file has an executor on a local folder start processes; only tables of heavy tasks have a file for each of these."""
+    wide = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    spark.read.parquet(f"{SF}/documents.parquet").limit(600).repartition(60).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(session, "_scratch", ["keeps the list from a second exit hook"])
+    monkeypatch.setattr(corpus_pipeline, "drop_scratch", lambda *a, **b: None)
+    old = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        got = corpus_pipeline.run(spark, str(tmp_path)).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got > 100
+    files = {p: len(list(Path(p.removeprefix("file:")).glob("part-*"))) for p in session._scratch[1:]}
+    heavy = re.compile("/cladeflow-(measured|signatures|sizes|stage-personal-data|stage-tokens)-")
+    few = max(5, spark.sparkContext.defaultParallelism)
+    assert len(files) > 20 and all(k <= few for p, k in files.items() if not heavy.search(p)), files
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
